@@ -86,8 +86,8 @@ def nearest_join(
     )
     merged = ordered.with_block(merged, position, block)
     order = [position, "_side", sequence]
-    merged = ordered.fill(merged, [key], order, {"_prev": F.col("_hit")})
-    merged = ordered.fill(merged, [key], order, {"_next": F.col("_hit")}, backward=True)
+    hit = F.col("_hit")
+    merged = ordered.sweep(merged, [key], order, forward={"_prev": hit}, backward={"_next": hit})
     # a right row at the same position sorts before the left one, so it is found backwards
     before = F.col(position) - F.col("_prev.at")
     after = F.col("_next.at") - F.col(position)

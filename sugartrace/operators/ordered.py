@@ -99,70 +99,68 @@ def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
     return prefix_sum(df, keys, order, {name: F.lit(1).cast("long")})
 
 
-def neighbour(
+def sweep(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    columns: Mapping[str, Column],
-    following: bool = False,
+    forward: Mapping[str, Column] | None = None,
+    backward: Mapping[str, Column] | None = None,
+    strict: Sequence[str] = (),
 ) -> DataFrame:
-    """Values of the row just before (or after) this one in its key, null at the end."""
-    df = df.withColumn("_row", F.struct(*[e.alias(n) for n, e in columns.items()]))
-    rank = F.struct(*order)
-    edge = F.min_by("_row", rank) if following else F.max_by("_row", rank)
-    shift = F.lead if following else F.lag
-    carry = (
-        df.groupBy(*keys, BLOCK)
-        .agg(edge.alias("_edge"))
-        .select(*keys, BLOCK, shift("_edge", 1).over(_across(keys)).alias("_edge"))
-    )
+    """Carry values along each key: `forward` takes the last non-null value at or before a row,
+    `backward` the first at or after it, without the row itself for names in `strict`.
+
+    All columns share one block summary and one join.
+    """
+    forward, backward = dict(forward or {}), dict(backward or {})
+    names = [*forward, *backward]
+    df = df.select("*", *[e.alias(f"_v_{n}") for n, e in {**forward, **backward}.items()])
+    edges = []
+    for name in names:
+        value = F.col(f"_v_{name}")
+        pick = F.max_by if name in forward else F.min_by
+        edges.append(pick(value, F.when(value.isNotNull(), F.struct(*order))).alias(f"_e_{name}"))
+
+    def carried(name: str) -> Column:
+        earlier = _across(keys, name in backward).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(f"_e_{name}", ignorenulls=True).over(earlier).alias(f"_c_{name}")
+
+    def seen(name: str) -> Column:
+        frame = _local(keys, order, name in backward).rowsBetween(
+            Window.unboundedPreceding, -1 if name in strict else 0
+        )
+        return F.last(f"_v_{name}", ignorenulls=True).over(frame).alias(f"_s_{name}")
+
+    carry = df.groupBy(*keys, BLOCK).agg(*edges).select(*keys, BLOCK, *map(carried, names))
     return (
-        df.withColumn("_near", shift("_row", 1).over(_local(keys, order)))
+        df.select("*", *map(seen, names))
         .join(carry, [*keys, BLOCK])
-        .withColumn("_near", F.coalesce("_near", "_edge"))
-        .withColumns({n: F.col(f"_near.{n}") for n in columns})
-        .drop("_row", "_near", "_edge")
+        .withColumns({n: F.coalesce(f"_s_{n}", f"_c_{n}") for n in names})
+        .drop(*[f"_{p}_{n}" for n in names for p in "vcs"])
     )
 
 
-def fill(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    columns: Mapping[str, Column],
-    backward: bool = False,
+def neighbour(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, Column]
 ) -> DataFrame:
-    """Last non-null value at or before each row (`backward`: first at or after)."""
-    df = df.select("*", *[e.alias(f"_v_{n}") for n, e in columns.items()])
-    pick = F.min_by if backward else F.max_by
-    edges = [
-        pick(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_e_{n}")
-        for n in columns
-    ]
-    before = _across(keys, backward).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        df.groupBy(*keys, BLOCK)
-        .agg(*edges)
-        .select(*keys, BLOCK, *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in columns])
-    )
-    local = _local(keys, order, backward).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        df.select("*", *[F.last(f"_v_{n}", ignorenulls=True).over(local).alias(f"_s_{n}") for n in columns])
-        .join(carry, [*keys, BLOCK])
-        .withColumns({n: F.coalesce(f"_s_{n}", f"_c_{n}") for n in columns})
-        .drop(*[f"_{p}_{n}" for n in columns for p in "vcs"])
-    )
+    """Values of the row just before this one in its key, null on the first."""
+    row = F.struct(*[e.alias(n) for n, e in columns.items()])
+    out = sweep(df, keys, order, forward={"_near": row}, strict=["_near"])
+    return out.withColumns({n: F.col(f"_near.{n}") for n in columns}).drop("_near")
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column) -> DataFrame:
-    """Keep the flagged rows and number their contiguous runs (`run`, per key).
+def islands(df: DataFrame, keys: Sequence[str], order: str, flag: Column) -> DataFrame:
+    """Keep the flagged rows and name their contiguous runs (`run`).
 
-    A run breaks on an unflagged row only, not on a gap in time.
+    Rows of a run share the last unflagged position before them. A run breaks on an
+    unflagged row only, not on a gap in time.
     """
-    df = neighbour(df.withColumn("_on", F.coalesce(flag, F.lit(False))), keys, order, {"_was": F.col("_on")})
-    starts = F.col("_on") & ~F.coalesce(F.col("_was"), F.lit(False))
-    numbered = prefix_sum(df, keys, order, {"run": starts.cast("long")})
-    return numbered.filter("_on").drop("_on", "_was")
+    df = df.withColumn("_on", F.coalesce(flag, F.lit(False)))
+    out = sweep(df, keys, [order], forward={"run": F.when(~F.col("_on"), F.col(order).cast("long"))})
+    return out.filter("_on").withColumn("run", F.coalesce("run", F.lit(NO_ROW))).drop("_on", BLOCK)
+
+
+NO_ROW = -(2**62)  # below every position
 
 
 def with_halo(

@@ -25,21 +25,14 @@ def bracket_samples(rows: DataFrame, block: int = K.MINUTES_PER_DAY) -> DataFram
     """Rows with the glucose sample at or before, the one at or after, and the next row's minute."""
     rows = ordered.with_block(rows, "minute", block)
     sample = F.when(F.col("glucose").isNotNull(), F.struct(F.col("minute").alias("m"), F.col("glucose").alias("g")))
-    rows = ordered.fill(rows, [PID], ["minute"], {"prev": sample})
-    rows = ordered.neighbour(
+    return ordered.sweep(
         rows,
         [PID],
         ["minute"],
-        {"next_minute": F.col("minute"), "next_glucose": F.col("glucose")},
-        following=True,
+        forward={"prev": sample},
+        backward={"next": sample, "next_minute": F.col("minute")},
+        strict=["next", "next_minute"],
     )
-    after = F.when(
-        F.col("next_glucose").isNotNull(),
-        F.struct(F.col("next_minute").alias("m"), F.col("next_glucose").alias("g")),
-    )
-    # the first sample strictly after this row: the next row's own sample, or the one it sees
-    rows = ordered.fill(rows, [PID], ["minute"], {"next": after}, backward=True)
-    return rows
 
 
 def minute_grid(rows: DataFrame, block: int = K.MINUTES_PER_DAY, sequence: str = "id") -> DataFrame:
@@ -203,7 +196,9 @@ def basal_hold(grid: DataFrame, entries: DataFrame, block: int = K.MINUTES_PER_D
         ["rate"],
     )
     merged = grid.join(placed, [PID, "minute"], "left")
-    merged = ordered.fill(ordered.with_block(merged, "minute", block), [PID], ["minute"], {"_held": F.col("rate")})
+    merged = ordered.sweep(
+        ordered.with_block(merged, "minute", block), [PID], ["minute"], forward={"_held": F.col("rate")}
+    )
     return merged.withColumn("basal", F.coalesce("_held", F.lit(0.0))).drop("rate", "_held", ordered.BLOCK)
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("basic",)
+MODULES = ("basic", "ingestion")
 
 
 def load() -> None:
