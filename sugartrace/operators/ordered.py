@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sugartrace.session import materialize
+
 BLOCK = "_block"
 TILE = "_tile"
 CORE = "_core"
@@ -186,6 +188,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, blocks: int
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    counts = materialize(counts)  # read for the cut points, the block totals and the ranks
     ranked = prefix_sum(with_value_block(counts, value, blocks), keys, [value], {"hi": F.col("_n")})
     return ranked.select(*keys, value, (F.col("hi") - F.col("_n")).alias("lo"), "hi")
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("basic", "ingestion")
+MODULES = ("basic", "ingestion", "detection")
 
 
 def load() -> None:

@@ -108,3 +108,53 @@ VIEWS = {
 BOUNDS = VIEWS.pop("bounds")
 for _table in ("glucoses", "insulins", "meals", "histories"):
     VIEWS[f"{_table}_bounds"] = BOUNDS.format(table=_table)
+
+VIEWS |= {
+    "zgrid": """SELECT g.patient_id, g.minute, (g.glucose - s.m) / s.d AS z, g.valid, s.d AS scale FROM grid g JOIN (
+        SELECT patient_id, avg(glucose) AS m, greatest(stddev_pop(glucose), 1e-8) AS d FROM grid GROUP BY 1) s
+        ON s.patient_id = g.patient_id""",
+    "scored": """SELECT patient_id, start, score, direction FROM (
+        SELECT patient_id, minute AS start, avg(z * z) OVER tail AS score, avg(z) OVER tail AS direction,
+          bool_and(valid) OVER whole AS ok, count(*) OVER whole AS n FROM zgrid
+        WINDOW tail AS (PARTITION BY patient_id ORDER BY minute ROWS BETWEEN 150 FOLLOWING AND 159 FOLLOWING),
+          whole AS (PARTITION BY patient_id ORDER BY minute ROWS BETWEEN CURRENT ROW AND 159 FOLLOWING))
+        WHERE n = 160 AND ok AND start % 5 = 0""",
+    "horizon_flags": """SELECT * FROM (SELECT patient_id, minute AS start, count(*) OVER whole AS n,
+        max(f_missed) OVER h AS f_missed, max(f_late) OVER h AS f_late, max(f_large) OVER h AS f_large,
+        max(f_prolonged) OVER h AS f_prolonged, max(f_anaerobic) OVER h AS f_anaerobic FROM flag_grid
+        WINDOW h AS (PARTITION BY patient_id ORDER BY minute ROWS BETWEEN 120 FOLLOWING AND 159 FOLLOWING),
+          whole AS (PARTITION BY patient_id ORDER BY minute ROWS BETWEEN CURRENT ROW AND 159 FOLLOWING))
+        WHERE n = 160 AND start % 5 = 0""",
+}
+
+
+def _quartiles(source: str) -> str:
+    return f"""SELECT patient_id, max(total) AS total, count(*) AS n, median(score) AS median,
+        greatest((quantile_cont(score, 0.75) - quantile_cont(score, 0.25)) / 1.349, 1e-6) AS sigma FROM ({source}) GROUP BY 1"""
+
+
+def _next_pass(before: str) -> str:
+    kept = f"""SELECT s.*, b.total FROM scored s JOIN {before} b USING (patient_id) WHERE s.score <= b.median + 2.0 * b.sigma"""
+    return f"""SELECT b.patient_id, b.total, CASE WHEN q.n >= greatest(b.total // 2, 1) THEN q.n ELSE b.n END AS n,
+        CASE WHEN q.n >= greatest(b.total // 2, 1) THEN q.median ELSE b.median END AS median,
+        CASE WHEN q.n >= greatest(b.total // 2, 1) THEN q.sigma ELSE b.sigma END AS sigma
+        FROM {before} b LEFT JOIN ({_quartiles(kept)}) q ON q.patient_id = b.patient_id"""
+
+
+VIEWS["pass0"] = _quartiles("SELECT *, count(*) OVER (PARTITION BY patient_id) AS total FROM scored")
+for _i in (1, 2, 3):
+    VIEWS[f"pass{_i}"] = _next_pass(f"pass{_i - 1}")
+VIEWS |= {
+    "robust": "SELECT patient_id, n AS kept, median, sigma, median + 2.0 * sigma AS threshold FROM pass3",
+    "session_rows": """SELECT *, sum(CASE WHEN gap <= 30 THEN 0 ELSE 1 END) OVER (PARTITION BY patient_id ORDER BY start
+        ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT s.*, median, sigma,
+          start - lag(start) OVER (PARTITION BY s.patient_id ORDER BY start) AS gap
+        FROM scored s JOIN robust r ON r.patient_id = s.patient_id WHERE score > threshold)""",
+    "detected_raw": """SELECT patient_id, session, min(start) + 120 AS start_min, max(start) + 160 AS end_min,
+        max(start) + 40 - min(start) AS duration_min, max(score) AS score, first(direction ORDER BY score DESC, start) AS direction,
+        (max(score) - max(median)) / max(sigma) AS severity FROM session_rows GROUP BY 1, 2 HAVING max(start) + 40 - min(start) >= 30""",
+    "detected": """SELECT d.*, CASE WHEN fb IS NULL THEN CASE WHEN direction < 0 THEN NULL ELSE 'missed' END
+        WHEN fb - start_min >= 15 THEN 'late' END AS rule_label FROM (
+        SELECT e.*, (SELECT min(b.minute) FROM boluses b WHERE b.patient_id = e.patient_id
+          AND b.minute >= e.start_min - 15 AND b.minute <= e.start_min + 75) AS fb FROM detected_raw e) d""",
+}
