@@ -47,26 +47,18 @@ def robust_baseline(scored: DataFrame, k: float = K.THRESHOLD_K, passes: int = 3
     the ranks and three picked order statistics; the ranks are written once and reread.
     """
     ranks = materialize(ordered.order_statistics(scored, [PID], "score"))
-    totals = ranks.groupBy(PID).agg(F.max("hi").alias("n"))
-    state = ordered.quantiles_from_ranks(ranks, [PID], "score", totals, QUARTILES).withColumn("_all", F.col("n"))
+    totals = ranks.groupBy(PID).agg(F.max("hi").alias("n"), F.max("hi").alias("_all"))
+    state = ordered.quantiles_from_ranks(ranks, [PID], "score", totals, QUARTILES)
     for _ in range(passes):
-        limits = _threshold(state, k)
+        below = F.max(F.when(F.col("score") <= F.col("threshold"), F.col("hi")))
         kept = (
-            joins.salted_join(ranks, limits, [PID], "score")
+            joins.salted_join(ranks, _threshold(state, k), [PID], "score")
             .groupBy(PID)
-            .agg(
-                F.coalesce(F.max(F.when(F.col("score") <= F.col("threshold"), F.col("hi"))), F.lit(0)).alias("_next"),
-                F.first("n").alias("_now"),
-                F.first("_all").alias("_all"),
-            )
+            .agg(below.alias("_next"), F.max("n").alias("_now"), F.max("_all").alias("_all"))
         )
-        floor = F.greatest(F.floor(F.col("_all") / 2), F.lit(1))
-        n = F.when(F.col("_next") < floor, F.col("_now")).otherwise(F.col("_next"))
-        kept = kept.select(PID, n.alias("n"), "_all")
-        state = ordered.quantiles_from_ranks(ranks, [PID], "score", kept.drop("_all"), QUARTILES).join(
-            kept.drop("n"), PID
-        )
-        state = materialize(state)  # one row per patient; keeps the three passes from nesting
+        enough = F.col("_next") >= F.greatest(F.floor(F.col("_all") / 2), F.lit(1))
+        kept = kept.select(PID, F.when(enough, F.col("_next")).otherwise(F.col("_now")).alias("n"), "_all")
+        state = ordered.quantiles_from_ranks(ranks, [PID], "score", kept, QUARTILES)
     return _threshold(state, k).withColumn("kept", F.col("n")).drop("n", "_all")
 
 

@@ -116,22 +116,21 @@ def diary(
     embedding column to its distance from the normal cluster.
     """
     flagged = calibrate.flag(scored, thresholds).filter("flagged")
-    sessions = events.event_sessions(flagged)
+    sessions = materialize(events.event_sessions(flagged))
     bounds = events.session_bounds(sessions, min_length=min_length)
-    rows = sessions.join(embeddings, [PID, "start"])
-
-    def mean_vector(column: str) -> DataFrame:
-        parts = rows.select(PID, "session", F.posexplode(column).alias("_i", "_x"))
-        per_dim = parts.groupBy(PID, "session", "_i").agg(F.avg("_x").alias("_x"))
-        packed = F.sort_array(F.collect_list(F.struct("_i", "_x")))  # one entry per dimension
-        return per_dim.groupBy(PID, "session").agg(packed["_x"].alias(column))
-
     peaks = sessions.groupBy(PID, "session").agg(F.max("score").alias("score"))
+    vectors = sessions.join(embeddings, [PID, "start"]).select(
+        PID, "session", F.posexplode(F.concat("probs", "embedding")).alias("_i", "_x")
+    )
+    means = vectors.groupBy(PID, "session", "_i").agg(F.avg("_x").alias("_x"))
+    packed = F.sort_array(F.collect_list(F.struct("_i", "_x")))  # one entry per dimension
+    means = means.groupBy(PID, "session").agg(packed["_x"].alias("_mean"))
+    n = len(classes)
     out = (
         bounds.join(peaks, [PID, "session"])
-        .join(mean_vector("embedding"), [PID, "session"])
-        .join(mean_vector("probs"), [PID, "session"])
-        .withColumn("ood_distance", distance(F.col("embedding")))
+        .join(means, [PID, "session"])
+        .withColumn("probs", F.slice("_mean", 1, n))
+        .withColumn("ood_distance", distance(F.slice("_mean", F.lit(n + 1), F.size("_mean") - n)))
     )
     out = out.withColumn("ood_flag", F.col("ood_distance") > radius).withColumn(
         "soft_label", scalars.top_class(F.col("probs"), classes)

@@ -8,27 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugartrace.operators import ordered
-
-_SALT = "_salt"
-
-
-def salted_join(
-    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], salt: str, how: str = "inner", salts: int = 64
-) -> DataFrame:
-    """Join facts to a one-row-per-key table with each key spread over `salts` partitions.
-
-    Spark still broadcasts the lookup when its measured size allows; beyond that no key,
-    however large, is one task.
-    """
-    spread = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
-        _SALT, F.col(_SALT).cast("long")
-    )
-    return (
-        facts.withColumn(_SALT, F.pmod(F.xxhash64(salt), F.lit(salts)).cast("long"))
-        .join(spread, [*keys, _SALT], how)
-        .drop(_SALT)
-    )
-
+from sugartrace.operators.ordered import salted_join  # noqa: F401  (part of this module's interface)
 
 def interval_join(
     probes: DataFrame,

@@ -22,6 +22,7 @@ from sugartrace.session import materialize
 BLOCK = "_block"
 TILE = "_tile"
 CORE = "_core"
+_SALT = "_salt"
 
 
 def floor_div(value: Column | str, width: float) -> Column:
@@ -165,6 +166,24 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, flag: Column) -> Dat
 NO_ROW = -(2**62)  # below every position
 
 
+def salted_join(
+    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], salt: str, how: str = "inner", salts: int = 64
+) -> DataFrame:
+    """Join facts to a one-row-per-key table with each key spread over `salts` partitions.
+
+    Spark still broadcasts the lookup when its measured size allows; beyond that no key,
+    however large, is one task.
+    """
+    spread = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
+        _SALT, F.col(_SALT).cast("long")
+    )
+    return (
+        facts.withColumn(_SALT, F.pmod(F.xxhash64(salt), F.lit(salts)).cast("long"))
+        .join(spread, [*keys, _SALT], how)
+        .drop(_SALT)
+    )
+
+
 def with_halo(
     df: DataFrame, position: str, width: int, before: int = 0, after: int = 0
 ) -> DataFrame:
@@ -198,31 +217,26 @@ def quantiles_from_ranks(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of the first `n` ranks of every key.
 
-    `totals` has the keys and `n`. Only the values that hold a wanted rank are aggregated.
+    `totals` has the keys and `n`; other columns of it are passed on. Only the values that
+    hold a wanted rank are aggregated.
     """
-    joined = ranks.join(totals, list(keys)) if keys else ranks.crossJoin(F.broadcast(totals))
-    parts = []
-    for name, p in probs.items():
-        spot = (F.col("n") - 1) * F.lit(float(p))
-        low, high = F.floor(spot), F.ceil(spot)
-        for side, at in (("lo", low), ("hi", high)):
-            hit = (F.col("lo") <= at) & (at < F.col("hi"))
-            parts.append((f"_{name}_{side}", F.when(hit, F.col(value))))
-    wanted = parts[0][1].isNotNull()
-    for _, expr in parts[1:]:
-        wanted = wanted | expr.isNotNull()
+    extra = [c for c in totals.columns if c not in (*keys, "n")]
+    joined = salted_join(ranks, totals, list(keys), value) if keys else ranks.crossJoin(F.broadcast(totals))
+    spots = {name: f"((n - 1) * {float(p)}D)" for name, p in probs.items()}
+    parts = {
+        f"_{name}_{side}": f"CASE WHEN lo <= {at}({spot}) AND {at}({spot}) < hi THEN `{value}` END"
+        for name, spot in spots.items()
+        for side, at in (("lo", "floor"), ("hi", "ceil"))
+    }
+    columns = [*keys, "n", *extra]
+    hits = joined.selectExpr(*columns, *[f"{e} AS {n}" for n, e in parts.items()])
     picked = (
-        joined.filter(wanted)
+        hits.filter(f"coalesce({', '.join(parts)}) IS NOT NULL")
         .groupBy(*keys)
-        .agg(F.max("n").alias("n"), *[F.max(e).alias(n) for n, e in parts])
+        .agg(*[F.expr(f"max({c}) AS {c}") for c in ("n", *extra, *parts)])
     )
-    out = []
-    for name, p in probs.items():
-        spot = (F.col("n") - 1) * F.lit(float(p))
-        frac = spot - F.floor(spot)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * frac).alias(name))
-    return picked.select(*keys, "n", *out)
+    between = "_{0}_lo + (_{0}_hi - _{0}_lo) * ({1} - floor({1})) AS {0}"
+    return picked.selectExpr(*columns, *[between.format(name, spot) for name, spot in spots.items()])
 
 
 def grouped_quantiles(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sugartrace import constants as K
+from sugartrace.functions import rounding
 from sugartrace.operators import joins, ordered
 
 PID = "patient_id"
@@ -291,7 +292,7 @@ def consolidate(grid: DataFrame, boluses: DataFrame, meals: DataFrame, step: int
     bins = grid.filter(F.col("minute") % step == 0).select(
         PID,
         ordered.floor_div("minute", step).alias("bin"),
-        F.round("glucose", 2).alias("glucose"),
+        rounding.half_even(rounding.settled(F.col("glucose")), 2).alias("glucose"),
         F.round(F.col("basal") / 1000.0 * 60.0, 4).alias("basal_rate"),
     )
     last = grid.groupBy(PID).agg(F.max(ordered.floor_div("minute", step)).alias("_last"))

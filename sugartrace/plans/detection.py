@@ -7,6 +7,7 @@ from sugartrace.operators import calibrate, detect, embedding, events, forecast,
 from sugartrace.operators import windows as W
 from sugartrace.plans.oracle_views import ts
 from sugartrace.plans.registry import query
+from sugartrace.session import materialize
 
 FLAGS = list(W.FLAGS)
 FLAG_MAX = ", ".join(f"max({f}) OVER w AS {f}" for f in FLAGS)
@@ -131,7 +132,7 @@ def _(t):
     """WITH n AS (SELECT patient_id, max(minute) // 5 AS last FROM grid GROUP BY 1),
        b AS (SELECT patient_id, least(minute // 5, last) AS bin, sum(units) AS v FROM boluses JOIN n USING (patient_id) GROUP BY 1, 2),
        c AS (SELECT patient_id, least(minute // 5, last) AS bin, sum(carb_g) AS v FROM carbs_list JOIN n USING (patient_id) GROUP BY 1, 2)
-       SELECT g.patient_id, g.minute, round(round(g.glucose, 9), 2) AS glucose, 0.12::DOUBLE AS basal_rate,
+       SELECT g.patient_id, g.minute, round_even(round(g.glucose, 9), 2) AS glucose, 0.12::DOUBLE AS basal_rate,
          round(coalesce(b.v, 0.0), 3) AS bolus, round(coalesce(c.v, 0.0), 1) AS carbs FROM grid g
        LEFT JOIN b ON b.patient_id = g.patient_id AND b.bin = g.minute // 5 LEFT JOIN c ON c.patient_id = g.patient_id AND c.bin = g.minute // 5
        WHERE g.minute % 5 = 0""",
@@ -356,6 +357,12 @@ def _(t):
 
 # ---- thresholds and events -----------------------------------------------------------------
 
+
+def _scored(t):
+    """Window scores, written once: thresholds and flags both read them."""
+    return materialize(detect.score_series(t.grid))
+
+
 LEADING = """SELECT patient_id, count(*) AS n, round(median(score), 6) AS median,
     greatest((quantile_cont(score, 0.75) - quantile_cont(score, 0.25)) / 1.349, 1e-6) AS sigma,
     median(score) + 2.0 * greatest((quantile_cont(score, 0.75) - quantile_cont(score, 0.25)) / 1.349, 1e-6) AS threshold
@@ -367,7 +374,7 @@ LEADING = """SELECT patient_id, count(*) AS n, round(median(score), 6) AS median
     f"SELECT patient_id, n, median, round(sigma, 6) AS sigma, round(threshold, 6) AS threshold FROM ({LEADING})",
 )
 def _(t):
-    return calibrate.threshold_leading(detect.score_series(t.grid), 20)
+    return calibrate.threshold_leading(_scored(t), 20)
 
 
 @query(
@@ -375,7 +382,7 @@ def _(t):
     """SELECT patient_id, round(median, 6) AS median, round(sigma, 6) AS sigma, round(threshold, 6) AS threshold, kept FROM robust""",
 )
 def _(t):
-    return calibrate.robust_baseline(detect.score_series(t.grid))
+    return calibrate.robust_baseline(_scored(t))
 
 
 @query(
@@ -386,7 +393,7 @@ def _(t):
         UNION ALL SELECT NULL, CAST(sum(windows) AS BIGINT), CAST(sum(flagged) AS BIGINT), round(100.0 * sum(flagged) / sum(windows), 6) FROM c""",
 )
 def _(t):
-    scored = detect.score_series(t.grid)
+    scored = _scored(t)
     return calibrate.flagged_share(calibrate.flag(scored, calibrate.threshold_leading(scored, 20)))
 
 
@@ -395,7 +402,7 @@ def _(t):
     "SELECT s.patient_id, start, round((score - median) / sigma, 6) AS severity FROM scored s JOIN robust r ON r.patient_id = s.patient_id",
 )
 def _(t):
-    scored = detect.score_series(t.grid)
+    scored = _scored(t)
     return calibrate.severity(scored, calibrate.robust_baseline(scored)).select("patient_id", "start", "severity")
 
 
@@ -565,7 +572,7 @@ def _(t):
 
 @query("diary_events")
 def _(t):
-    scored = detect.score_series(t.grid)
+    scored = _scored(t)
     vectors = t.read("embeddings")
     distance = embedding.distance_expression(*embedding.ood_fit(vectors.filter("label = 0")))
     total = vectors.count()
