@@ -23,6 +23,16 @@ def score_series(grid: DataFrame, forecaster: forecast.Forecaster = forecast.zer
     return forecast.score_windows(W.forecast_windows(scaled, stride, flags=flags), forecaster, mode)
 
 
+def score_series_flagged(
+    grid: DataFrame, flags: DataFrame, forecaster: forecast.Forecaster = forecast.zero, mode: str = "end",
+    stride: int = K.SCORE_STRIDE,
+) -> DataFrame:
+    """The same with the horizon's maximum of each sparse flag (`flags`: patient, minute, f_*) per window."""
+    names = [c for c in flags.columns if c.startswith("f_")]
+    marked = series.zscore_patient(grid).join(flags, [PID, "minute"], "left").fillna(0.0, names)
+    return forecast.score_windows(W.forecast_windows(marked, stride, flags=names), forecaster, mode)
+
+
 def group_events(flagged: DataFrame, min_length: int = K.MIN_EVENT_MIN) -> DataFrame:
     """Sessions of flagged windows with the strongest window's score and direction (earliest on ties)."""
     sessions = events.event_sessions(flagged)

@@ -108,6 +108,15 @@ def basal_events(
     return joins.first_by(hourly.unionByName(markers), [PID, "absolute_minute"], ["_rank"], ["units"])
 
 
+def announced_runs(cohort: DataFrame, block: int = K.MINUTES_PER_DAY) -> DataFrame:
+    """Onset of every announced-carb run and whether its status is normal throughout."""
+    return (
+        _runs(cohort, F.col("cho_mg_announced") > 0, "absolute_minute", block)
+        .groupBy(PID, "run")
+        .agg(F.min("absolute_minute").alias("minute"), F.every(F.col("status") == "normal").alias("all_normal"))
+    )
+
+
 def derive_events(grid: DataFrame, block: int = K.MINUTES_PER_DAY) -> tuple[DataFrame, DataFrame]:
     """Meals and boluses from channel rates: carb runs, and insulin runs above the rolling basal."""
     from sugartrace.operators import series

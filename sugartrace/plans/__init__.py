@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("basic", "ingestion", "detection")
+MODULES = ("basic", "ingestion", "detection", "evaluation")
 
 
 def load() -> None:
