@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("basic", "ingestion", "detection", "evaluation")
+MODULES = ("basic", "ingestion", "detection", "evaluation", "files", "streams")
 
 
 def load() -> None:
