@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sugartrace.functions import scalars
 from sugartrace.operators import ordered, series
-from sugartrace.session import tune
+from sugartrace.session import materialize, tune
 
 
 class Tables:
@@ -134,9 +134,12 @@ class Tables:
 
     @cached_property
     def _numbered(self) -> DataFrame:
-        """Events in time order per user; blocks are hours, so a busy user is many tasks."""
+        """Events in time order per user; blocks are hours, so a busy user is many tasks.
+
+        Written once: every series built on this clock reads it several times.
+        """
         blocked = ordered.with_time_block(self.events, "ts", 3600)
-        return ordered.row_number(blocked, ["user_id"], ["ts", "event_id"]).drop(ordered.BLOCK)
+        return materialize(ordered.row_number(blocked, ["user_id"], ["ts", "event_id"]).drop(ordered.BLOCK))
 
     @cached_property
     def cgm(self) -> DataFrame:
@@ -180,6 +183,10 @@ class Tables:
         """1-minute series with interpolated glucose and validity."""
         return series.minute_grid(self.channels)
 
+    @cached_property
+    def lengths(self) -> DataFrame:
+        return series.series_lengths(self.cgm)
+
     @cached_property
     def flags(self) -> DataFrame:
         """Five 0/1 class flags at the minutes of `error` events."""

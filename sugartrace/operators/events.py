@@ -117,7 +117,9 @@ def announced_runs(cohort: DataFrame, block: int = K.MINUTES_PER_DAY) -> DataFra
     )
 
 
-def derive_events(grid: DataFrame, block: int = K.MINUTES_PER_DAY) -> tuple[DataFrame, DataFrame]:
+def derive_events(
+    grid: DataFrame, block: int = K.MINUTES_PER_DAY, lengths: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Meals and boluses from channel rates: carb runs, and insulin runs above the rolling basal."""
     from sugartrace.operators import series
 
@@ -127,7 +129,7 @@ def derive_events(grid: DataFrame, block: int = K.MINUTES_PER_DAY) -> tuple[Data
         .agg(F.min("minute").alias("minute"), F.sum("carbs").alias("carb_g"))
         .select(PID, "minute", "carb_g")
     )
-    spikes = series.rolling_median(grid, "insulin", "_basal").withColumn("_spike", F.col("insulin") - F.col("_basal"))
+    spikes = series.rolling_median(grid, "insulin", "_basal", lengths=lengths).withColumn("_spike", F.col("insulin") - F.col("_basal"))
     boluses = (
         _runs(spikes, F.col("_spike") > K.BOLUS_MIN_U, "minute", block)
         .groupBy(PID, "run")
@@ -137,11 +139,13 @@ def derive_events(grid: DataFrame, block: int = K.MINUTES_PER_DAY) -> tuple[Data
     return meals, boluses
 
 
-def event_edges(grid: DataFrame, bolus_cut: float = 200.0, block: int = K.MINUTES_PER_DAY) -> DataFrame:
+def event_edges(
+    grid: DataFrame, bolus_cut: float = 200.0, block: int = K.MINUTES_PER_DAY, lengths: DataFrame | None = None
+) -> DataFrame:
     """Per patient: onsets of carbs above zero and of insulin above the rolling basal by `bolus_cut`."""
     from sugartrace.operators import series
 
-    rows = series.rolling_median(grid, "insulin", "_basal").select(
+    rows = series.rolling_median(grid, "insulin", "_basal", lengths=lengths).select(
         PID, "minute", (F.col("carbs") > 0).alias("c"), (F.col("insulin") - F.col("_basal") > bolus_cut).alias("b")
     )
     steps = ordered.neighbour(

@@ -23,16 +23,20 @@ def _cap(column: Column, caps: dict[str, int] = K.EXCURSION_CAP) -> Column:
 
 def sustained(mask: Column, need: int) -> Column:
     """0-based position of the first `need` consecutive true values, null if there is none."""
-    found = F.filter(
-        F.sequence(F.lit(1), F.size(mask) - need + 1),
-        lambda i: F.forall(F.slice(mask, i, F.lit(need)), lambda ok: ok),
-    )
-    return F.when(F.size(mask) >= need, F.get(found, F.lit(0)) - 1)
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), none.alias("found"))
+
+    def step(acc: Column, ok: Column) -> Column:
+        run = F.when(ok, acc["run"] + 1).otherwise(0)
+        found = F.coalesce(acc["found"], F.when(run >= need, acc["i"] - need + 1))
+        return F.struct((acc["i"] + 1).alias("i"), run.alias("run"), found.alias("found"))
+
+    return F.aggregate(mask, start, step, lambda acc: acc["found"])
 
 
 def excursion_windows(
     meals: DataFrame, grid: DataFrame, rise: float = K.EXCURSION_RISE, sustain: int = K.EXCURSION_SUSTAIN,
-    back: float = K.EXCURSION_RETURN, pre: int = K.EXCURSION_PRE, tile: int = 1440,
+    back: float = K.EXCURSION_RETURN, pre: int = K.EXCURSION_PRE, tile: int = 1440, lengths: DataFrame | None = None,
 ) -> DataFrame:
     """Bracket the glucose excursion after each labelled meal; null start and end where none is found.
 
@@ -41,9 +45,9 @@ def excursion_windows(
     """
     longest = max(K.EXCURSION_CAP.values())
     cut = W.tiles(grid, ["glucose"], before=pre, after=longest, tile=tile)
-    length = grid.groupBy(PID).agg((F.max("minute") + 1).alias("T"))
+    lengths = series.series_lengths(grid) if lengths is None else lengths
     spots = meals.select(PID, "minute", "class").distinct().withColumn(ordered.TILE, ordered.floor_div("minute", tile))
-    spots = joins.salted_join(spots, length, [PID], "minute")
+    spots = joins.salted_join(spots, lengths, [PID], "minute")
     rows = spots.filter("minute >= 0 AND minute < T").join(cut, [PID, ordered.TILE])
     m, T = F.col("minute"), F.col("T")
 
@@ -76,11 +80,12 @@ def excursion_windows(
 
 
 def label_intervals(
-    meals: DataFrame, grid: DataFrame, mode: str = "flat", drop_no_excursion: bool = False
+    meals: DataFrame, grid: DataFrame, mode: str = "flat", drop_no_excursion: bool = False,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """(patient, class, start, end) of each labelled meal, cut at the end of the series."""
-    length = grid.groupBy(PID).agg((F.max("minute") + 1).alias("T"))
-    sized = joins.salted_join(meals, length, [PID], "minute")
+    lengths = series.series_lengths(grid) if lengths is None else lengths
+    sized = joins.salted_join(meals, lengths, [PID], "minute")
     m = F.col("minute")
     if mode == "flat":
         return sized.select(PID, "class", m.alias("start"), F.least("T", m + K.FLAT_LABEL_MIN).alias("end"))
@@ -89,7 +94,7 @@ def label_intervals(
         return sized.select(PID, "class", m.alias("start"), fixed.alias("end"))
     if mode != "excursion":
         raise ValueError(f"unknown label mode: {mode}")
-    placed = excursion_windows(sized, grid)
+    placed = excursion_windows(sized, grid, lengths=lengths)
     if drop_no_excursion:
         placed = placed.filter("start IS NOT NULL")
     return placed.select(PID, "class", F.coalesce("start", m).alias("start"), F.coalesce("end", fixed).alias("end"))
@@ -166,14 +171,15 @@ def inject_boluses(
 
 
 def inject_channel(
-    grid: DataFrame, cls: str, delay: int = 30, keep: float = 0.7, min_total: float = 20_000.0
+    grid: DataFrame, cls: str, delay: int = 30, keep: float = 0.7, min_total: float = 20_000.0,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """The same on rate channels: bolus = insulin above the rolling basal, meals = carb runs.
 
     Adds `flag` at each changed meal's onset; glucose is untouched. A late meal whose carbs
     land on a later changed meal moves on with that one, as if meals were handled in order.
     """
-    base = series.rolling_median(grid, "insulin", "_basal", edge="nearest").withColumn(
+    base = series.rolling_median(grid, "insulin", "_basal", edge="nearest", lengths=lengths).withColumn(
         "_bolus", F.greatest(F.lit(0.0), F.col("insulin") - F.col("_basal"))
     )
     boxed = ordered.islands(ordered.with_block(base, "minute", K.MINUTES_PER_DAY), [PID], "minute", F.col("carbs") > 0)

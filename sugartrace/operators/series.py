@@ -115,74 +115,80 @@ def normalize(grid: DataFrame, mode: str, train: DataFrame | None = None) -> Dat
     raise ValueError(f"unknown normalisation mode: {mode}")
 
 
+# A block of a day ages by r^1440 < 1e-11 for both time constants; after 40 blocks nothing is
+# left of any input in double precision, also for the short blocks tests use.
+ON_BOARD_BLOCKS = 40
+
+
 def on_board(
-    grid: DataFrame, rate: str, tau: float, gain: float = 1.0, name: str = "on_board", block: int = K.MINUTES_PER_DAY
+    grid: DataFrame, inputs: dict[str, tuple[str, float, float]], block: int = K.MINUTES_PER_DAY
 ) -> DataFrame:
     """Amount still active: two leaky integrators in a row, one step behind the input.
 
-    With r = 1 - 1/tau and k the minute in its block, both states are prefix sums of
-    u * r^-k and k * u * r^-k inside the block, plus what the earlier blocks leave behind:
-    (S1, S2) decays to (S1 r^t, S2 r^t + a S1 t r^(t-1)). That hand-over is itself a sum over
-    earlier blocks, so it is one window over a row per block.
+    `inputs`: output name to (rate column, tau, gain). With r = 1 - 1/tau, a = 1/tau and k the
+    minute in its block, the states are sums over earlier inputs u at j:
+    s1 = sum u r^(k-1-j) and s2 = a sum u (k-1-j) r^(k-2-j), that is prefix sums of u r^-j and
+    j u r^-j. A block hands (S1, S2) on; after t more minutes they are S1 r^t and
+    S2 r^t + a S1 t r^(t-1). All inputs share one window, one block summary and one join.
     """
-    a = 1.0 / tau
-    r = 1.0 - a
     k = F.col("_k")
-    u = F.col(rate) * gain
+    size = float(block)
     df = ordered.with_block(grid, "minute", block).withColumn(
         "_k", (F.col("minute") - F.col(ordered.BLOCK) * block).cast("double")
     )
-    df = df.withColumn("_w", u * F.pow(F.lit(r), -k)).withColumn("_kw", F.col("_w") * k)
-    local = (
-        Window.partitionBy(PID, ordered.BLOCK).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # state at minute t from inputs at j < t: s1 = sum u r^(t-1-j), s2 = a sum u (t-1-j) r^(t-2-j)
-    totals = df.groupBy(PID, ordered.BLOCK).agg(F.sum("_w").alias("A"), F.sum("_kw").alias("B"))
-    end = float(block)
-    s1_end = F.col("A") * (r ** (end - 1))
-    s2_end = a * (r ** (end - 2)) * ((end - 1) * F.col("A") - F.col("B"))
-    over = Window.partitionBy(PID).orderBy(ordered.BLOCK)
-    # contributions of earlier blocks, each aged by the whole blocks that passed since its end;
-    # r^block is far below one, so the aged sum is a fold over the blocks in order
-    history = F.collect_list(F.struct(F.col(ordered.BLOCK).alias("b"), s1_end.alias("s1"), s2_end.alias("s2"))).over(
-        over.rowsBetween(-ON_BOARD_BLOCKS, -1)
+    weighted = {
+        name: F.col(rate) * F.lit(gain) * F.pow(F.lit(1.0 - 1.0 / tau), -k) for name, (rate, tau, gain) in inputs.items()
+    }
+    df = df.withColumns({f"_w_{n}": e for n, e in weighted.items()})
+    df = df.withColumns({f"_v_{n}": F.col(f"_w_{n}") * k for n in inputs})
+    totals = df.groupBy(PID, ordered.BLOCK).agg(
+        *[F.sum(f"_{x}_{n}").alias(f"_{x}_{n}") for n in inputs for x in "wv"]
     )
+    earlier = Window.partitionBy(PID).orderBy(ordered.BLOCK).rowsBetween(-ON_BOARD_BLOCKS, -1)
     here = F.col(ordered.BLOCK)
 
-    def add(acc, x):
-        age = (here - x["b"] - 1).cast("double") * end
-        return F.struct(
-            (acc["s1"] + x["s1"] * F.pow(F.lit(r), age)).alias("s1"),
-            (
-                acc["s2"]
-                + x["s2"] * F.pow(F.lit(r), age)
-                + F.when(age > 0, a * x["s1"] * age * F.pow(F.lit(r), age - 1)).otherwise(0.0)
-            ).alias("s2"),
-        )
-
-    zero = F.struct(F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
-    carry = totals.select(PID, ordered.BLOCK, F.aggregate(history, zero, add).alias("_carry"))
-    A = F.coalesce(F.sum("_w").over(local), F.lit(0.0))
-    B = F.coalesce(F.sum("_kw").over(local), F.lit(0.0))
-    df = df.withColumn("_A", A).withColumn("_B", B).join(carry, [PID, ordered.BLOCK])
-    decay = F.pow(F.lit(r), k)
-    s1 = F.when(k > 0, F.col("_A") * F.pow(F.lit(r), k - 1)).otherwise(0.0) + F.col("_carry.s1") * decay
-    s2 = (
-        F.when(k > 1, a * F.pow(F.lit(r), k - 2) * ((k - 1) * F.col("_A") - F.col("_B"))).otherwise(0.0)
-        + F.col("_carry.s2") * decay
-        + F.when(k > 0, a * F.col("_carry.s1") * k * F.pow(F.lit(r), k - 1)).otherwise(0.0)
-    )
-    return df.withColumn(name, s1 + s2).drop("_k", "_w", "_kw", "_A", "_B", "_carry", ordered.BLOCK)
-
-
-# A block of a day ages by r^1440 < 1e-11 for both time constants; after 40 blocks nothing is
-# left of any input in double precision, also for the short blocks tests use.
-ON_BOARD_BLOCKS = 40
+    def carried(name: str, tau: float) -> Column:
+        a, r = 1.0 / tau, 1.0 - 1.0 / tau
+        s1 = F.col(f"_w_{name}") * r ** (size - 1)
+        s2 = a * r ** (size - 2) * ((size - 1) * F.col(f"_w_{name}") - F.col(f"_v_{name}"))
+        ends = F.collect_list(F.struct(here.alias("b"), s1.alias("s1"), s2.alias("s2"))).over(earlier)
+
+        def add(acc, x):
+            t = (here - x["b"] - 1).cast("double") * size
+            decay = F.pow(F.lit(r), t)
+            lag = F.when(t > 0, a * x["s1"] * t * F.pow(F.lit(r), t - 1)).otherwise(0.0)
+            return F.struct(
+                (acc["s1"] + x["s1"] * decay).alias("s1"), (acc["s2"] + x["s2"] * decay + lag).alias("s2")
+            )
+
+        zero = F.struct(F.lit(0.0).alias("s1"), F.lit(0.0).alias("s2"))
+        return F.aggregate(ends, zero, add).alias(f"_c_{name}")
+
+    carry = totals.select(PID, ordered.BLOCK, *[carried(n, tau) for n, (_, tau, _) in inputs.items()])
+    local = Window.partitionBy(PID, ordered.BLOCK).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    sums = [
+        F.coalesce(F.sum(f"_{x}_{n}").over(local), F.lit(0.0)).alias(f"_{x}s_{n}") for n in inputs for x in "wv"
+    ]
+    df = df.select(*grid.columns, ordered.BLOCK, "_k", *sums).join(carry, [PID, ordered.BLOCK])
+
+    def active(name: str, tau: float) -> Column:
+        a, r = 1.0 / tau, 1.0 - 1.0 / tau
+        w, v, c = F.col(f"_ws_{name}"), F.col(f"_vs_{name}"), F.col(f"_c_{name}")
+        power = lambda e: F.pow(F.lit(r), e)
+        s1 = F.when(k > 0, w * power(k - 1)).otherwise(0.0) + c["s1"] * power(k)
+        own = F.when(k > 1, a * power(k - 2) * ((k - 1) * w - v)).otherwise(0.0)
+        return s1 + own + c["s2"] * power(k) + F.when(k > 0, a * c["s1"] * k * power(k - 1)).otherwise(0.0)
+
+    return df.select(*grid.columns, *[active(n, tau).alias(n) for n, (_, tau, _) in inputs.items()])
 
 
 def iob_cob(grid: DataFrame, block: int = K.MINUTES_PER_DAY) -> DataFrame:
-    out = on_board(grid, "insulin", K.TAU_INSULIN, name="iob", block=block)
-    return on_board(out, "carbs", K.TAU_CARB, K.CARB_BIOAVAILABILITY, "cob", block)
+    """Insulin and carbs on board from the delivery rates."""
+    inputs = {
+        "iob": ("insulin", K.TAU_INSULIN, 1.0),
+        "cob": ("carbs", K.TAU_CARB, K.CARB_BIOAVAILABILITY),
+    }
+    return on_board(grid, inputs, block)
 
 
 def basal_hold(grid: DataFrame, entries: DataFrame, block: int = K.MINUTES_PER_DAY) -> DataFrame:
@@ -242,19 +248,25 @@ def render_channels(grid: DataFrame, boluses: DataFrame) -> DataFrame:
     )
 
 
+def series_lengths(rows: DataFrame) -> DataFrame:
+    """(patient, T) of a series that starts at minute 0; the channel rows give the same as the grid."""
+    return rows.groupBy(PID).agg((F.max("minute") + 1).alias("T"))
+
+
 def rolling_median(
     grid: DataFrame, column: str, name: str = "median", window: int = K.BASAL_MEDIAN_WINDOW,
-    edge: str = "reflect", tile: int = 720,
+    edge: str = "reflect", tile: int = 720, lengths: DataFrame | None = None,
 ) -> DataFrame:
     """Centred median over `window` minutes of a dense series starting at minute 0.
 
     `reflect` mirrors the ends with the edge sample repeated, `nearest` repeats the edge
     sample; a shorter series shrinks the window to its largest odd length when reflecting.
+    `lengths` (patient, T) saves a second look at the series.
     """
-    length = grid.groupBy(PID).agg((F.max("minute") + 1).alias("_T"))
+    columns = [c for c in grid.columns if c != PID]
     half = window // 2
-    rows = joins.salted_join(grid, length, [PID], "minute")
-    T, m = F.col("_T"), F.col("minute")
+    rows = joins.salted_join(grid, series_lengths(grid) if lengths is None else lengths, [PID], "minute")
+    T, m = F.col("T"), F.col("minute")
     odd = F.when(T % 2 == 1, T).otherwise(F.greatest(T - 1, F.lit(1)))
     rows = rows.withColumn("_half", F.least(F.lit(window), odd).cast("long") if edge == "reflect" else F.lit(window))
     rows = rows.withColumn("_half", F.floor(F.col("_half") / 2).cast("long"))
@@ -270,18 +282,22 @@ def rolling_median(
         raise ValueError(f"unknown edge mode: {edge}")
     padded = rows.withColumn("_pos", F.explode(F.concat(F.array(m), left, right)))
     tiled = ordered.with_halo(padded, "_pos", tile, half, half)
-    frame = Window.partitionBy(PID, ordered.TILE).orderBy("_pos").rangeBetween(-half, half)
-    # the frame is at most `window` values; a narrower half keeps only the values it reaches
-    values = F.collect_list(F.struct(F.col("_pos").alias("p"), F.col(column).alias("v"))).over(frame)
-    near = F.transform(
-        F.filter(values, lambda x: F.abs(x["p"] - F.col("_pos")) <= h), lambda x: x["v"]
-    )
-    out = tiled.withColumn("_sorted", F.sort_array(near)).withColumn(
-        name, F.element_at("_sorted", (F.floor(F.size("_sorted") / 2) + 1).cast("int"))
-    )
-    return out.filter(F.col(ordered.CORE) & (F.col("_pos") == m)).drop(
-        "_sorted", "_pos", "_half", "_T", ordered.TILE, ordered.CORE
+    real = (F.col(ordered.CORE) & (F.col("_pos") == m)).alias("_real")
+    # a tile holds at most tile + 2 * half values of one patient; each frame is a slice of it
+    cut = tiled.groupBy(PID, ordered.TILE).agg(
+        F.sort_array(F.collect_list(F.struct("_pos", real, "_half", *columns))).alias("_rows")
     )
+    cut = cut.withColumns({"_values": F.col("_rows")[column], "_first": F.col("_rows")[0]["_pos"]})
+    values, first = F.col("_values"), F.col("_first")
+
+    def middle(row: Column) -> Column:
+        at, reach = row["_pos"], row["_half"]
+        frame = F.slice(values, (at - first - reach + 1).cast("int"), (2 * reach + 1).cast("int"))
+        median = F.element_at(F.sort_array(frame), (reach + 1).cast("int"))
+        return F.struct(*[row[c].alias(c) for c in columns], median.alias(name))
+
+    kept = F.filter("_rows", lambda row: row["_real"])
+    return cut.select(PID, F.inline(F.transform(kept, middle)))
 
 
 def consolidate(grid: DataFrame, boluses: DataFrame, meals: DataFrame, step: int = 5) -> DataFrame:

@@ -51,11 +51,12 @@ def windows(
     return flat.select(PID, "start", *[F.col(f"w.{c}").alias(c) for c in columns])
 
 
-def window_index(grid: DataFrame, length: int, stride: int) -> DataFrame:
+def window_index(grid: DataFrame, length: int, stride: int, lengths: DataFrame | None = None) -> DataFrame:
     """Starts of complete windows; a start is a strided minute far enough from the end."""
-    ends = grid.groupBy(PID).agg(F.max("minute").alias("_end"))
+    if lengths is None:
+        lengths = grid.groupBy(PID).agg((F.max("minute") + 1).alias("T"))
     strided = grid.filter(F.col("minute") % stride == 0).select(PID, F.col("minute").alias("start"))
-    return joins.salted_join(strided, ends, [PID], "start").filter(F.col("start") + length - 1 <= F.col("_end")).drop("_end")
+    return joins.salted_join(strided, lengths, [PID], "start").filter(F.col("start") + length <= F.col("T")).drop("T")
 
 
 def window_labels(grid: DataFrame, length: int, stride: int, flags: Sequence[str] = FLAGS) -> DataFrame:

@@ -151,7 +151,7 @@ LENGTHS = "(SELECT patient_id, max(minute) AS last FROM grid GROUP BY 1)"
     f"SELECT patient_id, m AS start FROM {LENGTHS}, unnest(range(0, last + 2 - 120, 15)) u(m)",
 )
 def _(t):
-    return W.window_index(t.grid, K.CONTEXT_LEN, K.TRAIN_STRIDE)
+    return W.window_index(t.grid, K.CONTEXT_LEN, K.TRAIN_STRIDE, t.lengths)
 
 
 @query(
@@ -159,7 +159,7 @@ def _(t):
     f"SELECT patient_id, count(*) AS windows FROM (SELECT patient_id, m FROM {LENGTHS}, unnest(range(0, last + 2 - 120, 15)) u(m)) GROUP BY 1",
 )
 def _(t):
-    return W.window_index(t.grid, K.CONTEXT_LEN, K.TRAIN_STRIDE).groupBy("patient_id").agg(
+    return W.window_index(t.grid, K.CONTEXT_LEN, K.TRAIN_STRIDE, t.lengths).groupBy("patient_id").agg(
         F.count(F.lit(1)).alias("windows")
     )
 

@@ -39,7 +39,7 @@ CAP = "CASE class WHEN 'missed' THEN 180 WHEN 'late' THEN 240 ELSE 300 END"
         FROM grid g LEFT JOIN l ON l.patient_id = g.patient_id AND l.minute = g.minute""",
 )
 def _(t):
-    intervals = labels.label_intervals(_meal_labels(t), t.grid, "aligned")
+    intervals = labels.label_intervals(_meal_labels(t), t.grid, "aligned", lengths=t.lengths)
     return labels.label_array(t.grid.select("patient_id", "minute"), intervals)
 
 
@@ -63,7 +63,7 @@ EXCURSION = f"""WITH m AS (SELECT ml.*, T, least(T, minute + {CAP} + 1) AS hi, l
 
 @query("excursion_window", EXCURSION + ' SELECT patient_id, id, minute, class, s AS start, t AS "end" FROM e')
 def _(t):
-    return labels.excursion_windows(_meal_labels(t), t.grid)
+    return labels.excursion_windows(_meal_labels(t), t.grid, lengths=t.lengths)
 
 
 @query(
@@ -71,7 +71,7 @@ def _(t):
     EXCURSION + ' SELECT patient_id, class, coalesce(s, minute) AS start, coalesce(t, fallback) AS "end" FROM e',
 )
 def _(t):
-    return labels.label_intervals(_meal_labels(t), t.grid, "excursion")
+    return labels.label_intervals(_meal_labels(t), t.grid, "excursion", lengths=t.lengths)
 
 
 @query(
@@ -89,7 +89,7 @@ def _(t):
 )
 def _(t):
     truth = labels.true_runs(t.flag_grid)
-    placed = labels.label_intervals(truth.select("patient_id", "minute", "class"), t.grid, "aligned")
+    placed = labels.label_intervals(truth.select("patient_id", "minute", "class"), t.grid, "aligned", lengths=t.lengths)
     pairs = truth.join(
         placed.withColumnRenamed("start", "minute"), ["patient_id", "class", "minute"]
     ).withColumn("start", F.col("minute"))
@@ -105,14 +105,13 @@ INJECTED = """(SELECT b.patient_id, CASE WHEN carb_g >= 20 THEN least(T - 1, min
 def _(t):
     from sugartrace.operators import series
 
-    lengths = t.grid.groupBy("patient_id").agg((F.max("minute") + 1).alias("T"))
-    late = labels.inject_boluses(_dosed(t), lengths, "late")
+    late = labels.inject_boluses(_dosed(t), t.lengths, "late")
     return series.render_channels(_flat(t), late).drop("basal")
 
 
 @query("inject_channel")
 def _(t):
-    return labels.inject_channel(t.grid, "late", min_total=20.0)
+    return labels.inject_channel(t.grid, "late", min_total=20.0, lengths=t.lengths)
 
 
 def _artifact_query(name: str, build):

@@ -366,7 +366,7 @@ def _(t):
 
 @query("derive_events")
 def _(t):
-    meals, boluses = events.derive_events(t.grid)
+    meals, boluses = events.derive_events(t.grid, lengths=t.lengths)
     return meals.select("patient_id", "minute", F.lit("meal").alias("kind"), F.col("carb_g").alias("amount")).unionByName(
         boluses.select("patient_id", "minute", F.lit("bolus").alias("kind"), F.col("units").alias("amount"))
     )
@@ -411,9 +411,8 @@ LONG = "SELECT patient_id FROM grid GROUP BY 1 HAVING max(minute) + 1 >= 61"
     _median_sql() + f" SELECT patient_id, minute, round(median, 6) AS median FROM r WHERE core AND patient_id IN ({LONG})",
 )
 def _(t):
-    enough = t.grid.groupBy("patient_id").agg(F.max("minute").alias("_last")).filter("_last >= 60").select("patient_id")
-    series_long = t.grid.join(enough, "patient_id", "left_semi")
-    return series.rolling_median(series_long, "insulin").select("patient_id", "minute", "median")
+    # a shorter series has a shrunken window, which the SQL twin does not know
+    return series.rolling_median(t.grid, "insulin", lengths=t.lengths.filter("T >= 61")).select("patient_id", "minute", "median")
 
 
 @query(
@@ -425,7 +424,7 @@ def _(t):
        JOIN (SELECT patient_id, count(*) FILTER (b AND pb IS NOT TRUE) AS n_insulin FROM e GROUP BY 1) y USING (patient_id)""",
 )
 def _(t):
-    return events.event_edges(t.grid, bolus_cut=1.5)
+    return events.event_edges(t.grid, bolus_cut=1.5, lengths=t.lengths)
 
 
 @query(

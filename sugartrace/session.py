@@ -48,13 +48,15 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and read it from there.
+    """Write `df` once as a table in the shared checkpoint folder and read it from there.
 
-    For results that several later passes read (iterated trimming, order statistics): the
-    passes do not repeat the work above, and a lost executor re-reads a file.
+    For results that several later passes read (iterated trimming, order statistics, block
+    summaries): the passes do not repeat the work above, read only their columns, and a lost
+    executor re-reads a file.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
