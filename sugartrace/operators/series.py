@@ -325,6 +325,6 @@ def consolidate(grid: DataFrame, boluses: DataFrame, meals: DataFrame, step: int
         (F.col("bin") * step).alias("minute"),
         "glucose",
         "basal_rate",
-        F.round(F.coalesce("bolus", F.lit(0.0)), 3).alias("bolus"),
-        F.round(F.coalesce("carbs", F.lit(0.0)), 1).alias("carbs"),
+        rounding.half_even(rounding.settled(F.coalesce("bolus", F.lit(0.0))), 3).alias("bolus"),
+        rounding.half_even(rounding.settled(F.coalesce("carbs", F.lit(0.0))), 1).alias("carbs"),
     )

@@ -133,7 +133,7 @@ def _(t):
        b AS (SELECT patient_id, least(minute // 5, last) AS bin, sum(units) AS v FROM boluses JOIN n USING (patient_id) GROUP BY 1, 2),
        c AS (SELECT patient_id, least(minute // 5, last) AS bin, sum(carb_g) AS v FROM carbs_list JOIN n USING (patient_id) GROUP BY 1, 2)
        SELECT g.patient_id, g.minute, round_even(round(g.glucose, 9), 2) AS glucose, 0.12::DOUBLE AS basal_rate,
-         round(coalesce(b.v, 0.0), 3) AS bolus, round(coalesce(c.v, 0.0), 1) AS carbs FROM grid g
+         round_even(round(coalesce(b.v, 0.0), 9), 3) AS bolus, round_even(round(coalesce(c.v, 0.0), 9), 1) AS carbs FROM grid g
        LEFT JOIN b ON b.patient_id = g.patient_id AND b.bin = g.minute // 5 LEFT JOIN c ON c.patient_id = g.patient_id AND c.bin = g.minute // 5
        WHERE g.minute % 5 = 0""",
 )
