@@ -83,3 +83,16 @@ def running(df: DataFrame, keys: list[str], block: str, order: list[Column], val
     inside = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     joined = df.join(sums, [*keys, block])
     return joined.withColumn(out, F.col("_ahead") + F.sum(value).over(inside)).drop("_ahead")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, longest: int) -> DataFrame:
+    """(text, label) of at most `most` labelled documents outside the held-out fifth, texts up to `longest` characters.
+
+    The one bounded sample of this folder: it fits classifiers, which then score everything. Rows come in hash order, so
+    the sample repeats; the ids chosen are at most `most` rows and may be broadcast.
+    """
+    usable = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = usable.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return joined.where(F.length("text") <= longest).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text", "label")

@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sugartrace.llm import graysim, mixing, sql
+from sugartrace.llm import crf, graysim, mixing, pivots, repair, sql, toxicity
 from sugartrace.llm.common import read
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_rows(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_words(read(spark, folder, "documents"))
 
 
+def op7_line_field_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return crf.quality_rows(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op8_repair_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.round_trip(read(spark, folder, "documents"))
+
+
+def op9_pivot_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.hundredths(read(spark, folder, "embeddings"))
+
+
 def op10_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return graysim.component_rows(read(spark, folder, "documents"))
 

@@ -35,3 +35,17 @@ WITH docs AS (
 SELECT d.doc_id, d.size::BIGINT AS size, g.source_size, g.target, coalesce(t.taken, 0)::BIGINT AS taken
 FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN taken t ON d.doc_id = t.doc_id
 """
+
+op9_pivot_top_k = r"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
