@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sugartrace.llm import crf, graysim, mixing, pivots, repair, sql, toxicity
+from sugartrace.llm import crf, decontam, graysim, mixing, pivots, repair, sql, templates, toxicity
 from sugartrace.llm.common import read
 
 
+def op1_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.leak_rows(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_rows(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op4_line_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.line_rows(read(spark, folder, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_words(read(spark, folder, "documents"))
 

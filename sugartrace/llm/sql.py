@@ -49,3 +49,80 @@ WITH vectors AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+op1_benchmark_leaks = r"""
+WITH docs AS (
+  SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+  FROM documents WHERE text IS NOT NULL
+), items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), item_shingles AS (
+  SELECT item_id, len(w) AS n_words, unnest([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS h
+  FROM items WHERE len(w) >= 5
+), weights AS (
+  SELECT item_id, n_words, h, count(*) AS times, sum(count(*)) OVER (PARTITION BY item_id) AS need
+  FROM item_shingles GROUP BY item_id, n_words, h
+), shingled AS (
+  SELECT doc_id, len(w) - 4 AS total, unnest(range(0, len(w) - 4)) AS pos,
+         unnest([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS h
+  FROM docs WHERE len(w) >= 5
+), hits AS (
+  SELECT s.doc_id, s.total, s.pos, i.item_id, i.n_words, i.need FROM shingled s JOIN weights i USING (h)
+), starts AS (
+  SELECT doc_id, item_id, n_words, need, least(need, total) AS size, pos - back AS start
+  FROM hits, unnest(range(0, need::BIGINT)) AS b(back)
+  WHERE pos - back >= 0 AND pos - back <= total - least(need, total)
+  GROUP BY doc_id, item_id, n_words, need, total, pos - back HAVING count(*) >= 0.8 * need
+), inside AS (
+  SELECT t.doc_id, t.item_id, t.n_words, t.need, t.size, t.start, s.h, count(*) AS mine
+  FROM starts t JOIN shingled s ON s.doc_id = t.doc_id AND s.pos >= t.start AND s.pos < t.start + t.size
+  GROUP BY ALL
+), scored AS (
+  SELECT doc_id, item_id, n_words, start, sum(least(mine, times))::DOUBLE / (any_value(i.need) + any_value(size) - sum(least(mine, times))) AS similarity
+  FROM inside i JOIN (SELECT item_id, h, times FROM weights) USING (item_id, h)
+  GROUP BY doc_id, item_id, n_words, start
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS place FROM scored WHERE similarity >= 0.8
+)
+SELECT doc_id, item_id, start::BIGINT AS start, n_words::BIGINT AS n_words, similarity FROM ranked WHERE place = 1
+"""
+
+op4_line_templates = r"""
+WITH cut AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS content, unnest(range(0, len(string_split(text, chr(10))))) AS line
+  FROM documents WHERE text IS NOT NULL
+), lines AS (
+  SELECT doc_id, line, list_transform(list_filter(regexp_split_to_array(content, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
+                                      lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks
+  FROM cut
+), keyed AS (
+  SELECT doc_id, line, toks, len(toks) AS n, toks[1:3] AS lead FROM lines WHERE len(toks) > 0
+), often AS (
+  SELECT n, lead, toks, count(*) AS times FROM keyed GROUP BY ALL
+), votes AS (
+  SELECT n, lead, place, token, sum(times) AS votes
+  FROM (SELECT n, lead, times, unnest(toks) AS token, unnest(range(1, n + 1)) AS place FROM often) GROUP BY ALL
+), best AS (
+  SELECT n, lead, place, arg_max(token, {'v': votes, 't': token}) AS token, max(votes) AS most, sum(votes) AS total FROM votes GROUP BY ALL
+), matched AS (
+  SELECT o.n, o.lead, o.toks, count(b.place) >= 0.7 * o.n AS belongs
+  FROM (SELECT n, lead, toks, unnest(toks) AS token, unnest(range(1, n + 1)) AS place FROM often) o
+  LEFT JOIN best b ON b.n = o.n AND b.lead = o.lead AND b.place = o.place AND b.token = o.token AND 2 * b.most >= b.total
+  GROUP BY o.n, o.lead, o.toks
+), named AS (
+  SELECT k.doc_id, k.line, k.n, k.lead, CASE WHEN m.belongs THEN NULL ELSE k.toks END AS template
+  FROM keyed k JOIN matched m ON k.n = m.n AND k.lead = m.lead AND k.toks = m.toks
+), spread AS (
+  SELECT n, lead, template FROM named GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5
+), dropped AS (
+  SELECT a.doc_id, a.line FROM named a JOIN spread s ON a.n = s.n AND a.lead = s.lead AND a.template IS NOT DISTINCT FROM s.template
+), kept AS (
+  SELECT c.doc_id, count(*) AS n_lines, count(d.line) AS n_dropped,
+         string_agg(CASE WHEN d.line IS NULL THEN c.content END, chr(10) ORDER BY c.line) AS body
+  FROM cut c LEFT JOIN dropped d ON c.doc_id = d.doc_id AND c.line = d.line GROUP BY c.doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped,
+       CASE WHEN text IS NULL THEN NULL ELSE md5(coalesce(body, '')) END AS kept_md5
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
