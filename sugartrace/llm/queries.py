@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sugartrace.llm import crf, decontam, graysim, mixing, pivots, repair, sql, templates, toxicity
+from sugartrace.llm import crf, decontam, graysim, mixing, pivots, repair, runindex, sql, templates, toxicity
 from sugartrace.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_rows(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+def op3_run_index_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return runindex.span_rows(read(spark, folder, "documents"))
+
+
 def op4_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     return templates.line_rows(read(spark, folder, "documents"))
 

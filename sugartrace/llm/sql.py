@@ -126,3 +126,28 @@ SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::
        CASE WHEN text IS NULL THEN NULL ELSE md5(coalesce(body, '')) END AS kept_md5
 FROM documents LEFT JOIN kept USING (doc_id)
 """
+
+op3_run_index_spans = r"""
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), strings AS (
+  SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM docs, unnest(range(0, len(x) // 2 - 49)) AS r(i)
+), firsts AS (
+  SELECT s, min(doc_id) AS first FROM strings GROUP BY s
+), marked AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM strings JOIN firsts USING (s) WHERE doc_id > first
+), islands AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM marked
+), spans AS (
+  SELECT doc_id, island, min(i) AS a, max(i) + 50 AS b FROM islands GROUP BY doc_id, island
+), gaps AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_ FROM spans
+), cut AS (
+  SELECT g.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail,
+         string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) AS head
+  FROM gaps g JOIN docs USING (doc_id) GROUP BY g.doc_id
+)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(from_hex(CASE WHEN tail IS NULL THEN x ELSE head || substr(x, 2 * tail + 1) END)) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)
+"""
