@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sugartrace.llm import crf, decontam, graysim, mixing, pivots, repair, runindex, sql, templates, toxicity
+from sugartrace.llm import compact, crf, decontam, graysim, mixing, pivots, repair, runindex, sql, templates, toxicity
 from sugartrace.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op4_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     return templates.line_rows(read(spark, folder, "documents"))
 
 
+def op5_compact_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return compact.passage_rows(read(spark, folder, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_words(read(spark, folder, "documents"))
 
