@@ -11,6 +11,9 @@ from sugartrace.session import materialize
 
 KEPT_FROM = 0.3
 SHINGLE = 5
+# Differing bits of near-duplicates: at similarity 0.8 two fingerprints differ in 10 bits on average, so pairs this near
+# are above 0.8 nearly always.
+RADIUS = 7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest doc_id, and of its rows the first text."""
-    return graysim.one_of_each(docs, SHINGLE)
+    return graysim.one_of_each(docs, SHINGLE, RADIUS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def plain_pipeline(spark):
         return i
 
     for i in range(len(docs)):
-        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= corpus_pipeline.RADIUS):
             a, b = sorted((top(i), top(int(j))), key=lambda k: docs[k][0])
             parent[b] = a
     docs = [d for i, d in enumerate(docs) if top(i) == i]
