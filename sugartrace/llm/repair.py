@@ -2,7 +2,7 @@
 
 A shard is a range of documents in key order; a block is a run of documents of a shard with about BLOCK ids.
 The ids of a block become a grammar: in each round the most frequent pairs of neighbouring symbols turn into
-new symbols, until no pair is frequent or the symbols no longer fit in 16 bits. Pairs never cross documents.
+new symbols, until no pair is frequent, a round gains little, or the symbols no longer fit in 16 bits. Pairs never cross documents.
 
 File format: Parquet rows (shard, block, shard_start, n_tokens, keys, payload). `payload` is little-endian:
 
@@ -16,8 +16,10 @@ File format: Parquet rows (shard, block, shard_start, n_tokens, keys, payload).
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +36,15 @@ from sugartrace.session import scratch_path
 END = 2  # id that closes a document
 BLOCK = 1 << 20
 PAIRS = 4096  # pairs replaced in a round at most
-FREQUENT = 8
+FREQUENT = 16  # a rule takes 12 bytes and saves 2 at each place
+GAIN = 64  # a round that shortens the block by less than this part is the last
 NARROW = 1 << 16
-CACHED = 300_000  # encoded pieces a worker keeps; only speed depends on it
+TABLE = 20  # bits of the table that finds chosen pairs
+CACHED = 1_000_000  # encoded pieces a worker keeps; only speed depends on it
 
 _tokenizers: dict[str, Tokenizer] = {}
 _pieces: dict[str, dict[str, bytes]] = {}
+_closing: dict[str, np.ndarray] = {}
 
 
 def vocabulary() -> str:
@@ -50,22 +55,71 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian u32, without the closing id.
 
     The tokenizer never joins characters across a space or line break, so texts are cut there and equal pieces
-    are encoded once.
+    are encoded once. It lowers case itself; where all characters are Latin-1, lowering first changes nothing and
+    makes more pieces equal.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
     if path not in _tokenizers:
-        _tokenizers[path], _pieces[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _tokenizers[path], _pieces[path]
-    cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        tokenizer = _tokenizers[path] = Tokenizer.from_file(path)
+        closes = np.zeros(tokenizer.get_vocab_size(), bool)
+        closes[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        _pieces[path], _closing[path] = {}, closes
+    known = _pieces[path]
+    cut = []
+    for text in texts:
+        text = (text or "").replace("\n", " ")
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        cut.append(text.split(" "))
     if len(known) > CACHED:
         known.clear()
-    new = list(set().union(*cut) - known.keys())
-    for begin in range(0, len(new), 10_000):
-        part = new[begin : begin + 10_000]
-        for piece, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            known[piece] = np.array(found.ids, "<u4").tobytes()
+    learn([piece for piece in set().union(*cut) if piece not in known], path)
     return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
+def learn(pieces: list[str], path: str) -> None:
+    """Encode new pieces. Words of letters only are one word to the tokenizer: many are encoded as one text and told
+    apart by the ids that close a word. A comma or full stop after such a word is a word of its own.
+    """
+    tokenizer, known, closes = _tokenizers[path], _pieces[path], _closing[path]
+    marked, words, others = [], [], [m for m in (",", ".") if m not in known]
+    stems = set()
+    for piece in pieces:
+        if piece.isalpha():
+            words.append(piece)
+        elif piece[-1:] in (",", ".") and (stem := piece[:-1]).isalpha():
+            marked.append(piece)
+            if stem not in known:
+                stems.add(stem)
+        else:
+            others.append(piece)
+    words = [*words, *stems.difference(words)]
+    for begin in range(0, len(words), 5000):
+        part = words[begin : begin + 5000]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(closes[ids]) + 1)).tolist()
+        if len(ends) != len(part):
+            others += part
+            continue
+        octets, at = ids.tobytes(), 0
+        for word, end in zip(part, ends):
+            known[word] = octets[at:end]
+            at = end
+    for begin in range(0, len(others), 5000):
+        part = others[begin : begin + 5000]
+        for piece, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            known[piece] = array("I", found.ids).tobytes()
+    for piece in marked:
+        known[piece] = known[piece[:-1]] + known[piece[-1]]
+
+
+def _place(codes: np.ndarray) -> np.ndarray:
+    return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE)
+
+
 def grammar(ids: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: rules (pairs of symbols), symbols, and the place of each document's first symbol."""
     most = NARROW if first < NARROW else 1 << 20
@@ -89,15 +143,17 @@ def grammar(ids: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.ndarray
             break
         often = often[np.argsort(-times[often], kind="stable")][: min(PAIRS, most - first - count)]
         chosen = np.sort(in_order[edge[often]])
-        at = np.searchsorted(chosen, codes)
-        at[at == len(chosen)] = 0
+        # A pair whose place in the table a later one took waits for another round.
+        table = np.zeros(1 << TABLE, np.int16)
+        table[_place(chosen)] = np.arange(len(chosen))
+        at = table[_place(codes)]
         hit = (chosen[at] == codes) & inside
         # Of neighbouring hits every other one is replaced, from the left.
         places = np.flatnonzero(hit)
         run = np.flatnonzero(np.concatenate([[True], np.diff(places) > 1]))
         offset = np.arange(len(places)) - np.repeat(run, np.diff(np.concatenate([run, [len(places)]])))
         places = places[offset % 2 == 0]
-        symbols[places] = (first + count + at[places]).astype(kind)
+        symbols[places] = (first + count + at[places].astype(np.int64)).astype(kind)
         stays = np.ones(len(symbols), bool)
         stays[places + 1] = False
         before = np.concatenate([[0], np.cumsum(stays)])
@@ -105,6 +161,8 @@ def grammar(ids: np.ndarray, starts: np.ndarray, first: int) -> tuple[np.ndarray
         symbols = symbols[stays]
         rules.append(np.stack([chosen >> shift, chosen & ((kind(1) << shift) - kind(1))], 1))
         count += len(chosen)
+        if GAIN * len(places) < len(symbols):
+            break
     pairs = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     return pairs.astype("<u4"), symbols, starts
 
@@ -148,16 +206,25 @@ class Block:
         self.starts = np.frombuffer(payload, "<u8", documents, at := at + kind.itemsize * symbols).astype(np.int64)
         self.first_ids = np.frombuffer(payload, "<u8", documents, at + 8 * documents).astype(np.int64)
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        symbols = symbols.astype(np.uint32)
-        while len(rules := np.flatnonzero(symbols >= self.first)):
-            pairs = self.rules[symbols[rules] - self.first]
-            width = np.ones(len(symbols), np.int64)
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, then the ids of every rule; where each symbol's begin."""
+        flat = self.rules.ravel()
+        while len(rules := np.flatnonzero(flat >= self.first)):
+            pairs = self.rules[flat[rules] - self.first]
+            width = np.ones(len(flat), np.int64)
             width[rules] = 2
             at = np.cumsum(width) - width
-            symbols = np.repeat(symbols, width)
-            symbols[at[rules]], symbols[at[rules] + 1] = pairs[:, 0], pairs[:, 1]
-        return symbols
+            flat = np.repeat(flat, width)
+            flat[at[rules]], flat[at[rules] + 1] = pairs[:, 0], pairs[:, 1]
+        lengths = self.lengths.astype(np.int64)
+        begins = np.concatenate([np.arange(self.first), self.first + np.cumsum(lengths) - lengths])
+        return np.concatenate([np.arange(self.first, dtype=np.uint32), flat.astype(np.uint32)]), begins
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        flat, begins = self._expansions()
+        width = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])[symbols]
+        shift = begins[symbols] - (np.cumsum(width) - width)
+        return flat[np.repeat(shift, width) + np.arange(width.sum())]
 
     def documents(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each document begins, with the end added."""
