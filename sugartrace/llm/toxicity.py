@@ -25,7 +25,8 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, WORD, CHAR = 8, 8, 8
 TRIGRAMS = 4096
 CONTEXTS = 8  # different neighbours a word needs to get a vector of its own
-EPOCHS = 8
+EPOCHS, STEPS = 8, 96  # passes and steps at least
+TAUGHT = 256  # documents of a step
 TOGETHER = 4096  # windows that run side by side
 KNOWN = 200_000  # words whose inputs a worker keeps; only speed depends on it
 
@@ -170,7 +171,7 @@ class Scorer:
         if self.used > KNOWN:
             self.numbers.clear()
             self.used = 1
-        new = list(set(words) - self.numbers.keys())
+        new = [word for word in set(words) if word not in self.numbers]
         for begin in range(0, len(new), 20_000):
             part = new[begin : begin + 20_000]
             _, _, _, vectors = self.network.inputs(part)
@@ -224,10 +225,11 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
     first = {k: np.zeros_like(v) for k, v in weights.items()}
     second = {k: np.zeros_like(v) for k, v in weights.items()}
     steps = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, math.ceil(STEPS / math.ceil(len(documents) / TAUGHT)))
+    for epoch in range(epochs):
         order = rng.permutation(len(documents))
-        for begin in range(0, len(order), 256):
-            chosen = order[begin : begin + 256]
+        for begin in range(0, len(order), TAUGHT):
+            chosen = order[begin : begin + TAUGHT]
             some = [documents[i] for i in chosen]
             counts = np.array([len(x) for x in some], np.int64)
             present = sorted({w for x in some for w in x}) or [b""]
@@ -252,7 +254,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
             grads["chars"] = np.zeros_like(weights["chars"])
             np.add.at(grads["chars"], grams[touched], np.repeat(share, sizes, 0)[touched])
             steps += 1
-            rate = 0.02 * (1 if epoch < EPOCHS - 4 else 0.3)
+            rate = 0.02 * (1 if epoch < epochs - max(4, epochs // 4) else 0.3)
             for k, g in grads.items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])
