@@ -59,7 +59,7 @@ def test_spans_of_nothing(spark):
 def test_matching_statistics():
     rng = np.random.default_rng(8)
     rows = [rng.integers(1, 4, rng.integers(1, 20)) for _ in range(30)]
-    index = runindex.RunIndex(rows)
+    index = runindex.RunIndex(np.concatenate([x for r in rows for x in (r, [0])]), 20)
     assert len(index.starts) < len(index.text)
     patterns = np.full((25, 30), -1, np.int64)
     for p in patterns:
@@ -109,6 +109,9 @@ def test_passages(spark):
     rows += clean + [(30, rows[0][1], "s"), (31, " ".join(passage[:30]), "s"), (40, None, None), (41, "", "s"), (None, rows[0][1], "s")]
     got = compact.passage_rows(frame(spark, rows)).collect()
     assert {(r.doc_id, r.of_doc_id) for r in got} == {(i, 0) for i in (1, 2, 3, 4, 30)} | {(11, 10)}
+    same = [(50, "the " * 300, "s"), (51, "the " * 200, "s"), (52, "one two three " * 90 + "end", "s"), (53, "two three one " * 70, "s")]
+    over = {(r.doc_id, r.of_doc_id) for r in compact.passage_rows(frame(spark, same)).collect()}
+    assert over == {(51, 50), (53, 52)}
     for r in got:
         if r.doc_id in (1, 2, 3, 4):
             assert (r.begin, r.end, r.of_begin, r.of_end) == (120, 180, 120, 180) and r.similarity == 1.0
@@ -124,7 +127,9 @@ def test_lines(spark):
     out = templates.drop_recurring(frame(spark, rows))
     got = {(r.doc_id, r.text): r for r in out.collect()}
     assert out.count() == len(rows)
-    assert got[3, "\n"].n_dropped == 3 and got[3, "\n"].n_lines == 4
+    # The owner is the third token, where the tree still tells lines apart, and three documents are too few.
+    kept = got[3, "\nCopyright owner x all rights reserved"]
+    assert kept.n_dropped == 2 and kept.n_lines == 4
     assert got[20, None].n_lines == 0 and got[21, ""].n_dropped == 0 and got[None, ""].n_dropped == 1
     assert got[22, "Unique words only here"].n_dropped == 0
     assert templates.drop_recurring(frame(spark, rows).limit(0)).count() == 0
