@@ -70,3 +70,18 @@ EXCURSION_CAP = {"missed": 180, "late": 240, "large": 300}
 FLAT_LABEL_MIN = 60
 
 CLASSES = ("missed", "late", "large", "prolonged", "anaerobic")
+
+# Rates and sizes of sensor artefacts (14 days, mmol/L, minutes), and their codes.
+ARTEFACT = {
+    "gap_share": 0.10,
+    "gap_log_mean": 3.0,
+    "gap_log_deviation": 0.8,
+    "jumps_fortnightly": 2.0,
+    "jump_largest": 2.0,
+    "dips_fortnightly": 3.0,
+    "dip_deepest": 3.0,
+    "dip_minutes": (20, 60),
+    "dip_at_night": 0.7,
+}
+ARTEFACT_CODES = {"clean": 0, "dropout": 1, "jump": 2, "compression": 3}
+SENSOR_FLOOR = 1.5

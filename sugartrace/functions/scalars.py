@@ -67,15 +67,16 @@ def external_id(raw: Column) -> Column:
 
 
 def synthetic_birth_date(raw_id: Column, age_years: Column, base: Column) -> Column:
-    """Repeatable date of birth: year from the age, month and day from a hash of the id."""
-    digest = F.xxhash64(raw_id)
+    """Repeatable date of birth: year from the age, month and day from two bytes of a hash of the id."""
+    digest = F.md5(raw_id.cast("string"))
+    byte = lambda at: F.conv(F.substring(digest, at, 2), 16, 10).cast("int")
     month = F.make_date(
         (F.year(base) - F.coalesce(age_years, F.lit(35.0)).cast("int")).cast("int"),
-        (F.pmod(digest, F.lit(12)) + 1).cast("int"),
+        (byte(1) % 12 + 1).cast("int"),
         F.lit(1),
     )
     days = F.dayofmonth(F.last_day(month))
-    return F.date_add(month, F.pmod(F.shiftright(digest, 8), days).cast("int"))
+    return F.date_add(month, byte(3) % days)
 
 
 def parse_period(text: Column) -> Column:

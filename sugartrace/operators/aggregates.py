@@ -315,7 +315,7 @@ def patient_panel(
     """Latest reading, time in range, average, HbA1c and anomaly counts of every patient in one plan."""
     from sugartrace.operators import timerange
 
-    facts = joins.salted_join(readings, bounds, [PID], "id", "left")
+    facts = joins.lookup_join(readings, bounds, [PID], "left")
     inside = F.col("timestamp").between(F.col("range_start"), F.col("range_end"))
     v = F.col("glucose_mmoll")
     stats = facts.groupBy(PID).agg(

@@ -52,7 +52,7 @@ def robust_baseline(scored: DataFrame, k: float = K.THRESHOLD_K, passes: int = 3
     for _ in range(passes):
         below = F.max(F.when(F.col("score") <= F.col("threshold"), F.col("hi")))
         kept = (
-            joins.salted_join(ranks, _threshold(state, k), [PID], "score")
+            joins.lookup_join(ranks, _threshold(state, k), [PID])
             .groupBy(PID)
             .agg(below.alias("_next"), F.max("n").alias("_now"), F.max("_all").alias("_all"))
         )
@@ -63,7 +63,7 @@ def robust_baseline(scored: DataFrame, k: float = K.THRESHOLD_K, passes: int = 3
 
 
 def flag(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
-    joined = joins.salted_join(scored, thresholds, [PID], "start")
+    joined = joins.lookup_join(scored, thresholds, [PID])
     return joined.withColumn("flagged", F.col("score") > F.col("threshold"))
 
 
@@ -78,5 +78,5 @@ def flagged_share(flagged: DataFrame) -> DataFrame:
 
 
 def severity(scored: DataFrame, baseline: DataFrame) -> DataFrame:
-    joined = joins.salted_join(scored, baseline, [PID], "start")
+    joined = joins.lookup_join(scored, baseline, [PID])
     return joined.withColumn("severity", (F.col("score") - F.col("median")) / F.col("sigma"))

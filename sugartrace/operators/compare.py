@@ -36,7 +36,7 @@ def pool_stats(samples: DataFrame, counts: DataFrame) -> DataFrame:
         F.sum("n_insulin").alias("_ins"), F.sum("n_carb").alias("_carb"),
     )
     enough = patients.filter("n >= 3").select(PID, "cohort")
-    steps = joins.salted_join(events.rate_of_change(samples), enough, [PID], "minute")
+    steps = joins.lookup_join(events.rate_of_change(samples), enough, [PID])
     moves = steps.groupBy("cohort").agg(
         (100.0 * F.count_if("is_gap") / one).alias("gap_pct"), F.stddev_pop("roc").alias("roc_std")
     )

@@ -70,7 +70,7 @@ def surface(found: DataFrame, origins: DataFrame, max_events: int = 0) -> DataFr
     """
     strongest = found.groupBy(PID).agg(F.max("severity").alias("_max"))
     named = found.filter("rule_label IS NOT NULL")
-    named = joins.salted_join(named, strongest.join(origins, PID), [PID], "start_min")
+    named = joins.lookup_join(named, strongest.join(origins, PID), [PID])
     scale = F.when(F.col("glucose_scale") != 0, F.col("glucose_scale")).otherwise(1.0)
     top = F.when(F.col("_max") != 0, F.col("_max")).otherwise(1.0)
     residual = F.col("direction") * scale

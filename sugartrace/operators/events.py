@@ -203,7 +203,7 @@ def rate_of_change(samples: DataFrame, block: int = K.MINUTES_PER_DAY) -> DataFr
     counts = steps.filter("dt > 0").groupBy(PID, "dt").agg(F.count(F.lit(1)).alias("n"))
     # one row per distinct step length, so the weighted percentile holds a few values
     median = counts.groupBy(PID).agg(F.expr("percentile(dt, 0.5D, n)").alias("median_dt"))
-    out = joins.salted_join(steps, median, [PID], "minute")
+    out = joins.lookup_join(steps, median, [PID])
     gap = F.col("dt") > 1.5 * F.col("median_dt")
     usable = (F.col("dt") > 0) & ~gap & F.col("glucose").isNotNull() & F.col("_pg").isNotNull()
     return out.select(

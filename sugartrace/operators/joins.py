@@ -1,4 +1,4 @@
-"""Join shapes that stay balanced: salted lookups, bucketed ranges, nearest match by fill."""
+"""Join shapes that stay balanced: lookups by key, bucketed ranges, nearest match by fill."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugartrace.operators import ordered
-from sugartrace.operators.ordered import salted_join  # noqa: F401  (part of this module's interface)
+from sugartrace.operators.ordered import lookup_join  # noqa: F401  (part of this module's interface)
 
 def interval_join(
     probes: DataFrame,

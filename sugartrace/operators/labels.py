@@ -47,7 +47,7 @@ def excursion_windows(
     cut = W.tiles(grid, ["glucose"], before=pre, after=longest, tile=tile)
     lengths = series.series_lengths(grid) if lengths is None else lengths
     spots = meals.select(PID, "minute", "class").distinct().withColumn(ordered.TILE, ordered.floor_div("minute", tile))
-    spots = joins.salted_join(spots, lengths, [PID], "minute")
+    spots = joins.lookup_join(spots, lengths, [PID])
     rows = spots.filter("minute >= 0 AND minute < T").join(cut, [PID, ordered.TILE])
     m, T = F.col("minute"), F.col("T")
 
@@ -85,7 +85,7 @@ def label_intervals(
 ) -> DataFrame:
     """(patient, class, start, end) of each labelled meal, cut at the end of the series."""
     lengths = series.series_lengths(grid) if lengths is None else lengths
-    sized = joins.salted_join(meals, lengths, [PID], "minute")
+    sized = joins.lookup_join(meals, lengths, [PID])
     m = F.col("minute")
     if mode == "flat":
         return sized.select(PID, "class", m.alias("start"), F.least("T", m + K.FLAT_LABEL_MIN).alias("end"))
@@ -162,7 +162,7 @@ def inject_boluses(
     if cls == "missed":
         return flagged.withColumns({c: F.when(meal, 0.0).otherwise(F.col(c)) for c in ("units", "carb_g")})
     if cls == "late":
-        moved = joins.salted_join(flagged, lengths, [PID], "minute")
+        moved = joins.lookup_join(flagged, lengths, [PID])
         later = F.least(F.col("T") - 1, F.col("minute") + delay)
         return moved.withColumn("minute", F.when(meal, later).otherwise(F.col("minute"))).drop("T")
     if cls == "large":

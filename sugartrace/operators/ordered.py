@@ -11,6 +11,7 @@ many tasks as it has blocks, and the fact rows are shuffled once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -22,7 +23,6 @@ from sugartrace.session import materialize
 BLOCK = "_block"
 TILE = "_tile"
 CORE = "_core"
-_SALT = "_salt"
 
 
 def floor_div(value: Column | str, width: float) -> Column:
@@ -39,14 +39,23 @@ def with_time_block(df: DataFrame, ts: str, seconds: int = 3600) -> DataFrame:
     return df.withColumn(BLOCK, floor_div(F.unix_seconds(F.col(ts)), seconds))
 
 
-def with_value_block(df: DataFrame, value: str, blocks: int = 256) -> DataFrame:
+BLOCK_ROWS = 2_000_000
+
+
+def with_value_block(df: DataFrame, value: str, blocks: int | None = None) -> DataFrame:
     """Block = approximate quantile bucket of a numeric column.
 
-    Only `blocks` cut points reach the driver. They become constants of the plan, so every
-    branch of it agrees on the blocks; they decide balance, never the result.
+    Without `blocks`, there are 256, and more once a block would hold over BLOCK_ROWS rows. Only the cut points
+    reach the driver. They become constants of the plan, so every branch of it agrees on the blocks; they decide
+    balance, never the result. NaN values take the last block and null values none; without finite cuts there is one block.
     """
-    cuts = df.approxQuantile(value, [i / blocks for i in range(1, blocks)], 1 / (4 * blocks))
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    if blocks is None:
+        blocks = max(256, math.ceil(df.count() / BLOCK_ROWS))
+    cuts = df.approxQuantile(value, [i / blocks for i in range(1, blocks)], 1 / (4 * blocks)) if blocks > 1 else []
+    cuts = sorted({c for c in cuts if math.isfinite(c)})
+    if not cuts:
+        return df.withColumn(BLOCK, F.when(F.col(value).isNotNull(), F.lit(0).cast("long")))
+    splits = [float("-inf"), *cuts, float("inf")]
     bucketed = Bucketizer(
         splits=splits, inputCol=value, outputCol=BLOCK, handleInvalid="keep"
     ).transform(df)
@@ -166,22 +175,14 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, flag: Column) -> Dat
 NO_ROW = -(2**62)  # below every position
 
 
-def salted_join(
-    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], salt: str, how: str = "inner", salts: int = 64
-) -> DataFrame:
-    """Join facts to a one-row-per-key table with each key spread over `salts` partitions.
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join facts to a one-row-per-key table.
 
-    Spark still broadcasts the lookup when its measured size allows; beyond that no key,
-    however large, is one task.
+    Spark broadcasts the lookup when its measured size allows. Beyond that it is one plain join, each side shuffled
+    once; adaptive execution splits the partitions of heavy keys (`session.tune` asks for that also where it costs
+    another shuffle), so no key is one task and light keys are not copied.
     """
-    spread = lookup.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
-        _SALT, F.col(_SALT).cast("long")
-    )
-    return (
-        facts.withColumn(_SALT, F.pmod(F.xxhash64(salt), F.lit(salts)).cast("long"))
-        .join(spread, [*keys, _SALT], how)
-        .drop(_SALT)
-    )
+    return facts.join(lookup, list(keys), how)
 
 
 def with_halo(
@@ -221,7 +222,7 @@ def quantiles_from_ranks(
     hold a wanted rank are aggregated.
     """
     extra = [c for c in totals.columns if c not in (*keys, "n")]
-    joined = salted_join(ranks, totals, list(keys), value) if keys else ranks.crossJoin(F.broadcast(totals))
+    joined = lookup_join(ranks, totals, list(keys)) if keys else ranks.crossJoin(F.broadcast(totals))
     spots = {name: f"((n - 1) * {float(p)}D)" for name, p in probs.items()}
     parts = {
         f"_{name}_{side}": f"CASE WHEN lo <= {at}({spot}) AND {at}({spot}) < hi THEN `{value}` END"

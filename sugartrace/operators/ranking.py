@@ -26,8 +26,13 @@ def patient_order(sort_by: str, ascending: bool) -> list[Column]:
 
 
 def patients_page(patients: DataFrame, sort_by: str = "name", ascending: bool = True, number: int = 1, size: int = 20):
-    total = patients.agg(F.count(F.lit(1)).alias("total"))
-    rows = page(patients, patient_order(sort_by, ascending), number, size)
+    return page_with_total(patients, patient_order(sort_by, ascending), number, size)
+
+
+def page_with_total(ranked: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """A page, with the number of all rows and pages beside it (a one-row broadcast)."""
+    total = ranked.agg(F.count(F.lit(1)).alias("total"))
+    rows = page(ranked, order, number, size)
     return rows.crossJoin(F.broadcast(total)).withColumn("pages", F.ceil(F.col("total") / size))
 
 
@@ -83,7 +88,7 @@ def severity_rank(anomalies: DataFrame, id_width: int = 100_000) -> DataFrame:
     # many ids share a severity: salt that lookup as well
     from sugartrace.operators import joins
 
-    out = joins.salted_join(place, above, ["_key"], "id")
+    out = joins.lookup_join(place, above, ["_key"])
     return out.withColumn("rank", F.col("_above") + F.col("_place")).drop("_key", "_above", "_place", ordered.BLOCK)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def _scaled(channel: str) -> Column:
 
 def zscore_patient(grid: DataFrame, channels=("glucose", "insulin", "carbs")) -> DataFrame:
     """Scale by the patient's own mean and population deviation over every minute."""
-    out = joins.salted_join(grid, patient_stats(grid, channels), [PID], "minute")
+    out = joins.lookup_join(grid, patient_stats(grid, channels), [PID])
     return out.withColumns({c: _scaled(c) for c in channels})
 
 
@@ -115,9 +117,8 @@ def normalize(grid: DataFrame, mode: str, train: DataFrame | None = None) -> Dat
     raise ValueError(f"unknown normalisation mode: {mode}")
 
 
-# A block of a day ages by r^1440 < 1e-11 for both time constants; after 40 blocks nothing is
-# left of any input in double precision, also for the short blocks tests use.
-ON_BOARD_BLOCKS = 40
+# Time constants after which an input is below double precision of any sum it was part of.
+ON_BOARD_AGES = 64
 
 
 def on_board(
@@ -144,7 +145,8 @@ def on_board(
     totals = df.groupBy(PID, ordered.BLOCK).agg(
         *[F.sum(f"_{x}_{n}").alias(f"_{x}_{n}") for n in inputs for x in "wv"]
     )
-    earlier = Window.partitionBy(PID).orderBy(ordered.BLOCK).rowsBetween(-ON_BOARD_BLOCKS, -1)
+    reach = math.ceil(ON_BOARD_AGES * max(tau for _, tau, _ in inputs.values()) / block) + 1
+    earlier = Window.partitionBy(PID).orderBy(ordered.BLOCK).rowsBetween(-reach, -1)
     here = F.col(ordered.BLOCK)
 
     def carried(name: str, tau: float) -> Column:
@@ -265,7 +267,7 @@ def rolling_median(
     """
     columns = [c for c in grid.columns if c != PID]
     half = window // 2
-    rows = joins.salted_join(grid, series_lengths(grid) if lengths is None else lengths, [PID], "minute")
+    rows = joins.lookup_join(grid, series_lengths(grid) if lengths is None else lengths, [PID])
     T, m = F.col("T"), F.col("minute")
     odd = F.when(T % 2 == 1, T).otherwise(F.greatest(T - 1, F.lit(1)))
     rows = rows.withColumn("_half", F.least(F.lit(window), odd).cast("long") if edge == "reflect" else F.lit(window))
@@ -315,7 +317,7 @@ def consolidate(grid: DataFrame, boluses: DataFrame, meals: DataFrame, step: int
 
     def summed(events: DataFrame, value: str, name: str) -> DataFrame:
         part = events.groupBy(PID, ordered.floor_div("minute", step).alias("bin")).agg(F.sum(value).alias("_s"))
-        part = joins.salted_join(part, last, [PID], "bin")
+        part = joins.lookup_join(part, last, [PID])
         return part.groupBy(PID, F.least("bin", "_last").alias("bin")).agg(F.sum("_s").alias(name))
 
     out = bins.join(summed(boluses, "units", "bolus"), [PID, "bin"], "left")

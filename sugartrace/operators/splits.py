@@ -8,17 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugartrace.operators import ordered
-from sugartrace.operators.joins import salted_join
+from sugartrace.operators.joins import lookup_join
 
 
 def hash_rank(df: DataFrame, id_columns: Sequence[str], seed: int, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """0-based position in hash order per key. Hash buckets are even, so each is a small window."""
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *id_columns))
-    hashed = hashed.withColumn(ordered.BLOCK, F.shiftrightunsigned("_h", 54))
-    # unsigned order of the hash, so that the top bits are the order of the buckets
-    hashed = hashed.withColumn("_low", F.col("_h").bitwiseAND(F.lit((1 << 54) - 1)))
-    ranked = ordered.row_number(hashed, list(keys), ["_low", *id_columns], name)
-    return ranked.withColumn(name, F.col(name) - 1).drop("_h", "_low", ordered.BLOCK)
+    """0-based position in the order of an MD5 of seed and ids, per key. The first hex digits are the block: blocks
+    are even, and at 65,536 of them each is a small window."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_columns]))
+    hashed = df.withColumn("_h", digest)
+    hashed = hashed.withColumn(ordered.BLOCK, F.conv(F.substring("_h", 1, 4), 16, 10).cast("long"))
+    ranked = ordered.row_number(hashed, list(keys), ["_h", *id_columns], name)
+    return ranked.withColumn(name, F.col(name) - 1).drop("_h", ordered.BLOCK)
 
 
 def _by_counts(ranked: DataFrame, train: Column, val: Column) -> DataFrame:
@@ -81,7 +81,7 @@ def balanced_batches(pools: DataFrame, batch_size: int, normal_ratio: float = 0.
         .withColumn("rank", F.pmod("_slot", "_na"))
     )
     pool = ranked.filter(~F.col("is_normal"))
-    anomalous = salted_join(slots, pool, ["rank"], "_slot")
+    anomalous = lookup_join(slots, pool, ["rank"])
     columns = ["batch", *id_columns, "is_normal"]
     return normal.select(*columns).unionByName(anomalous.select(*columns))
 

@@ -48,7 +48,7 @@ def resolve_cohort(anchor: DataFrame, last: str | None = None, ts: str = "timest
 
 def in_window(facts: DataFrame, bounds: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Facts inside their patient's window, both ends included."""
-    return joins.salted_join(facts, bounds, [PID], "id").filter(
+    return joins.lookup_join(facts, bounds, [PID]).filter(
         F.col(ts).between(F.col("range_start"), F.col("range_end"))
     )
 
@@ -61,6 +61,6 @@ def anomalies_in_window(anomalies: DataFrame, requests: DataFrame, glucoses: Dat
         ),
         PID,
     )
-    joined = joins.salted_join(anomalies, bounds, [PID], "id")
+    joined = joins.lookup_join(anomalies, bounds, [PID])
     inside = F.col("detected_at").between(F.col("range_start"), F.col("range_end"))
     return joined.filter(F.col("_all") | inside).drop("_all", "range_start", "range_end")

@@ -51,12 +51,30 @@ def windows(
     return flat.select(PID, "start", *[F.col(f"w.{c}").alias(c) for c in columns])
 
 
+STARTS = 4096  # starts that one row opens at most
+
+
+def window_counts(lengths: DataFrame, length: int, stride: int) -> DataFrame:
+    """Complete windows of dense series (patient, T) from minute 0: patient, windows."""
+    return lengths.filter(F.col("T") >= length).select(
+        PID, (F.floor((F.col("T") - length) / F.lit(stride)) + 1).cast("long").alias("windows")
+    )
+
+
 def window_index(grid: DataFrame, length: int, stride: int, lengths: DataFrame | None = None) -> DataFrame:
-    """Starts of complete windows; a start is a strided minute far enough from the end."""
-    if lengths is None:
-        lengths = grid.groupBy(PID).agg((F.max("minute") + 1).alias("T"))
+    """Starts of complete windows; a start is a strided minute far enough from the end.
+
+    With `lengths` (patient, T) of dense series from minute 0 the starts are arithmetic and the grid is not read.
+    """
+    if lengths is not None:
+        last = F.col("windows") - 1
+        stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / STARTS))).alias("_s")
+        counts = window_counts(lengths, length, stride).select(PID, "windows", stretch)
+        upto = F.least((F.col("_s") + 1) * STARTS - 1, last)
+        return counts.select(PID, F.explode(F.sequence(F.col("_s") * STARTS, upto)).alias("_i")).select(PID, (F.col("_i") * stride).alias("start"))
+    lengths = grid.groupBy(PID).agg((F.max("minute") + 1).alias("T"))
     strided = grid.filter(F.col("minute") % stride == 0).select(PID, F.col("minute").alias("start"))
-    return joins.salted_join(strided, lengths, [PID], "start").filter(F.col("start") + length <= F.col("T")).drop("T")
+    return joins.lookup_join(strided, lengths, [PID]).filter(F.col("start") + length <= F.col("T")).drop("T")
 
 
 def window_labels(grid: DataFrame, length: int, stride: int, flags: Sequence[str] = FLAGS) -> DataFrame:

@@ -74,7 +74,16 @@ def _(t):
     return t.read("customer").select(key.alias("id"), scalars.external_id(raw).alias("external_id"))
 
 
-@query("birth_date_synthetic")
+def _byte(at: int) -> str:
+    digit = lambda i: f"(instr('0123456789abcdef', substr(md5(CAST(id AS VARCHAR)), {i}, 1)) - 1)"
+    return f"({digit(at)} * 16 + {digit(at + 1)})"
+
+
+@query(
+    "birth_date_synthetic",
+    f"""SELECT id, strftime(CAST(m + to_days(CAST({_byte(3)} % day(last_day(m)) AS INTEGER)) AS DATE), '%Y-%m-%d') AS date_of_birth
+        FROM (SELECT id, make_date(CAST(2024 - (18 + id % 48) AS INTEGER), CAST({_byte(1)} % 12 + 1 AS INTEGER), 1) AS m FROM patients)""",
+)
 def _(t):
     age = (18 + F.col("id") % 48).cast("double")
     dob = scalars.synthetic_birth_date(F.col("id"), age, F.lit("2024-01-01").cast("date"))
@@ -110,7 +119,7 @@ def _(t):
 )
 def _(t):
     first = t.events.groupBy("user_id").agg(F.min("ts").alias("first"))
-    out = joins.salted_join(t.events, first, ["user_id"], "event_id")
+    out = joins.lookup_join(t.events, first, ["user_id"])
     return out.select(
         "event_id",
         scalars.minutes_between(F.col("ts"), F.col("first"), rounded=True).alias("minute_rounded"),
@@ -210,7 +219,7 @@ def _window_filter(table: str, columns: str):
         inside = timerange.in_window(facts, timerange.resolve(t.requests, facts))
         totals = inside.groupBy("patient_id").agg(F.count(F.lit(1)).alias("total"))
         names = [c.strip() for c in re.sub(r"round\(\w+, 6\) AS ", "", columns).split(",")]
-        counted = joins.salted_join(inside, totals, ["patient_id"], "id")
+        counted = joins.lookup_join(inside, totals, ["patient_id"])
         return counted.select("patient_id", "id", "timestamp", *names, "total").orderBy(
             "patient_id", F.desc("timestamp")
         )
@@ -600,28 +609,33 @@ def _(t):
 COHORT_WINDOW = "SELECT max(timestamp) - to_days(14) AS lo, max(timestamp) AS hi FROM glucoses"
 
 
+TOTAL = "(SELECT count(*) FROM patients) AS total, (SELECT CAST(ceil(count(*) / 50.0) AS BIGINT) FROM patients) AS pages"
+
+
 @query(
     "patients_by_anomalies",
-    f"""SELECT p.id, p.external_id, count(a.id) AS pending FROM patients p CROSS JOIN ({COHORT_WINDOW}) w
+    f"""SELECT p.id, p.external_id, count(a.id) AS pending, {TOTAL} FROM patients p CROSS JOIN ({COHORT_WINDOW}) w
         LEFT JOIN anomalies a ON a.patient_id = p.id AND NOT a.is_acknowledged AND a.detected_at >= w.lo AND a.detected_at <= w.hi
         GROUP BY 1, 2 ORDER BY pending DESC, id DESC LIMIT 50""",
 )
 def _(t):
     ranked = ranking.by_anomalies(t.patients, t.anomalies, timerange.resolve_cohort(t.glucoses))
-    return ranking.page(ranked, [F.desc("pending"), F.desc("id")], 1, 50).select("id", "external_id", "pending")
+    rows = ranking.page_with_total(ranked, [F.desc("pending"), F.desc("id")], 1, 50)
+    return rows.select("id", "external_id", "pending", "total", "pages")
 
 
 @query(
     "patients_by_tir",
     f"""SELECT p.id, p.external_id, round(coalesce(count(*) FILTER (g.glucose_mmoll >= 3.9 AND g.glucose_mmoll <= 10.0)
-          / nullif(count(g.id), 0)::DOUBLE, 0.0), 6) AS tir FROM patients p CROSS JOIN ({COHORT_WINDOW}) w
+          / nullif(count(g.id), 0)::DOUBLE, 0.0), 6) AS tir, {TOTAL} FROM patients p CROSS JOIN ({COHORT_WINDOW}) w
         LEFT JOIN glucoses g ON g.patient_id = p.id AND g.timestamp >= w.lo AND g.timestamp <= w.hi
         GROUP BY 1, 2 ORDER BY coalesce(count(*) FILTER (g.glucose_mmoll >= 3.9 AND g.glucose_mmoll <= 10.0)
           / nullif(count(g.id), 0)::DOUBLE, 0.0) DESC, id DESC LIMIT 50""",
 )
 def _(t):
     ranked = ranking.by_tir(t.patients, t.glucoses, timerange.resolve_cohort(t.glucoses))
-    return ranking.page(ranked, [F.desc("tir"), F.desc("id")], 1, 50).select("id", "external_id", "tir")
+    rows = ranking.page_with_total(ranked, [F.desc("tir"), F.desc("id")], 1, 50)
+    return rows.select("id", "external_id", "tir", "total", "pages")
 
 
 VISIBLE = "WHERE (severity IS NULL OR severity >= 6.0) AND NOT is_acknowledged"
@@ -631,7 +645,7 @@ VISIBLE = "WHERE (severity IS NULL OR severity >= 6.0) AND NOT is_acknowledged"
     "anomalies_sorted",
     f"""SELECT id, round(coalesce(abs(residual_mmoll) * duration_min, 0), 6) AS excursion, round(severity, 6) AS severity
         FROM anomalies {VISIBLE}
-        ORDER BY coalesce(abs(residual_mmoll) * duration_min, 0) DESC, coalesce(severity, 0) DESC, id LIMIT 100""",
+        ORDER BY coalesce(abs(residual_mmoll) * duration_min, 0) DESC, coalesce(severity, 0) DESC, id""",
 )
 def _(t):
     visible = t.anomalies.filter(
@@ -641,11 +655,34 @@ def _(t):
     return (
         visible.withColumn("excursion", size)
         .orderBy(*ranking.anomaly_order("excursion"))
-        .limit(100)
         .select("id", "excursion", "severity")
     )
 
 
+def _sorted(key: str, descending: bool):
+    """The visible anomalies in one of the list's other orders."""
+    turn = "DESC" if descending else "ASC"
+    order = {
+        "severity": f"coalesce(severity, 0) {turn}, id",
+        "date": f"detected_at {turn}, id",
+        "excursion": f"coalesce(abs(residual_mmoll) * duration_min, 0) {turn}, coalesce(severity, 0) DESC, id",
+    }[key]
+
+    @query(
+        f"anomalies_by_{key}_{turn.lower()}",
+        f"""SELECT id, round(severity, 6) AS severity, strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS detected_at
+            FROM anomalies {VISIBLE} ORDER BY {order}""",
+    )
+    def _(t):
+        visible = scalars.severity_visible(F.col("severity"), F.col("is_acknowledged"), K.PERSIST_SEVERITY)
+        rows = t.anomalies.filter(visible).orderBy(*ranking.anomaly_order(key, descending))
+        return rows.select("id", "severity", "detected_at")
+
+
+for _key, _descending in (("severity", True), ("severity", False), ("date", True), ("date", False), ("excursion", False)):
+    _sorted(_key, _descending)
+
+
 @query("severity_rank", "SELECT id, row_number() OVER (ORDER BY coalesce(severity, 0) DESC, id) AS rank FROM anomalies")
 def _(t):
     return ranking.severity_rank(t.anomalies).select("id", "rank")

@@ -46,9 +46,10 @@ def _(t):
 
 @query(
     "zscore_global",
-    """SELECT patient_id, minute, round((glucose - m) / d, 6) AS glucose, round((carbs - mc) / dc, 6) AS carbs FROM grid, (
-       SELECT avg(glucose) AS m, greatest(stddev_pop(glucose), 1e-8) AS d, avg(carbs) AS mc, greatest(stddev_pop(carbs), 1e-8) AS dc
-       FROM grid WHERE patient_id % 3 <> 0)""",
+    """SELECT patient_id, minute, round((glucose - avg(glucose) FILTER (patient_id % 3 <> 0) OVER ())
+         / greatest(stddev_pop(glucose) FILTER (patient_id % 3 <> 0) OVER (), 1e-8), 6) AS glucose,
+         round((carbs - avg(carbs) FILTER (patient_id % 3 <> 0) OVER ())
+         / greatest(stddev_pop(carbs) FILTER (patient_id % 3 <> 0) OVER (), 1e-8), 6) AS carbs FROM grid""",
 )
 def _(t):
     train = t.grid.filter(F.col("patient_id") % 3 != 0)
@@ -159,9 +160,7 @@ def _(t):
     f"SELECT patient_id, count(*) AS windows FROM (SELECT patient_id, m FROM {LENGTHS}, unnest(range(0, last + 2 - 120, 15)) u(m)) GROUP BY 1",
 )
 def _(t):
-    return W.window_index(t.grid, K.CONTEXT_LEN, K.TRAIN_STRIDE, t.lengths).groupBy("patient_id").agg(
-        F.count(F.lit(1)).alias("windows")
-    )
+    return W.window_counts(t.lengths, K.CONTEXT_LEN, K.TRAIN_STRIDE)
 
 
 def _labels_sql(length: int, stride: int) -> str:
@@ -316,14 +315,15 @@ def _(t):
 
 @query("arx_fit")
 def _(t):
-    features = forecast.arx_features(series.zscore_patient(t.grid), LAG, K.HORIZON, stride=K.SCORE_STRIDE)
+    features = forecast.arx_features(series.zscore_patient(t.grid), LAG, K.HORIZON)
     return forecast.weights_frame(t.spark, *forecast.arx_fit(features))
 
 
 @query("arx_residual")
 def _(t):
-    features = forecast.arx_features(series.zscore_patient(t.grid), LAG, K.HORIZON, stride=K.SCORE_STRIDE)
-    return forecast.arx_residual(features, *forecast.arx_fit(features))
+    features = forecast.arx_features(series.zscore_patient(t.grid), LAG, K.HORIZON)
+    anchored = forecast.arx_residual(features, *forecast.arx_fit(features))
+    return forecast.residual_series(t.grid.select("patient_id", "minute"), anchored)
 
 
 @query("score_windows_arx")

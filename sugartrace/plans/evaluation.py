@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sugartrace import constants as K
 from sugartrace.operators import artifacts, calibrate, compare, detect, events, labels, metrics, rules, splits
 from sugartrace.operators import windows as W
-from sugartrace.plans.detection import FLAGS, LEADING, MEAL_LABELS, RENDERED, _dosed, _flat, _scored
+from sugartrace.plans.detection import FLAGS, LEADING, MEAL_LABELS, RENDERED, _dosed, _flat, _labels_sql, _scored
 from sugartrace.plans.ingestion import _islands
 from sugartrace.plans.registry import query
 from sugartrace.session import materialize
@@ -117,8 +117,8 @@ def _(t):
 def _artifact_query(name: str, build):
     @query(name)
     def _(t):
-        rows = t.grid.withColumn("artifact", F.lit(artifacts.CLEAN))
-        cfg = artifacts.ArtifactConfig(jumps_per_14d=14.0, compressions_per_14d=28.0)
+        rows = t.grid.withColumn("artifact", F.lit(K.ARTEFACT_CODES["clean"]))
+        cfg = artifacts.Artefacts(jumps=artifacts.Jumps(14.0), dips=artifacts.Dips(28.0))
         return build(rows, artifacts.patient_days(t.grid), cfg).select(
             "patient_id", "minute", "glucose", "valid", "artifact"
         )
@@ -137,17 +137,38 @@ def _(t):
 # ---- splits --------------------------------------------------------------------------------
 
 
-@query("patient_split")
+def _drawn(seed: int, *ids: str) -> str:
+    """Order of a seeded draw: the digest, then the ids."""
+    return f"md5('{seed}' || {' || '.join(chr(39) + ':' + chr(39) + ' || CAST(' + i + ' AS VARCHAR)' for i in ids)}), {', '.join(ids)}"
+
+
+@query(
+    "patient_split",
+    f"""SELECT patient_id, CASE WHEN rn < floor(n * 0.6) THEN 'train' WHEN rn < floor(n * 0.6) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS split
+        FROM (SELECT id AS patient_id, row_number() OVER (ORDER BY {_drawn(42, 'id')}) - 1 AS rn, count(*) OVER () AS n
+              FROM (SELECT DISTINCT id FROM patients))""",
+)
 def _(t):
     return splits.patient_split(t.patients.select(F.col("id").alias("patient_id")))
 
 
-@query("cohort_split")
+@query(
+    "cohort_split",
+    f"""SELECT patient_id, CASE WHEN rn < 15 THEN 'train' WHEN rn < 18 THEN 'val' ELSE 'test' END AS split
+        FROM (SELECT patient_id, row_number() OVER (ORDER BY {_drawn(42, 'patient_id')}) - 1 AS rn FROM (SELECT DISTINCT patient_id FROM cohort))""",
+)
 def _(t):
     return splits.cohort_split(t.cohort)
 
 
-@query("pooled_split")
+@query(
+    "pooled_split",
+    f"""WITH c AS (SELECT id AS patient_id, CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS cohort FROM patients),
+          r AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY {_drawn(42, 'patient_id')}) - 1 AS rn FROM c)
+        SELECT patient_id, cohort, 'test' AS split FROM r WHERE rn < CASE cohort WHEN 'a' THEN 7 ELSE 4 END
+        UNION ALL SELECT patient_id, cohort, CASE WHEN row_number() OVER (ORDER BY {_drawn(43, 'patient_id')}) <= 6 THEN 'val' ELSE 'train' END
+        FROM r WHERE rn >= CASE cohort WHEN 'a' THEN 7 ELSE 4 END""",
+)
 def _(t):
     cohort = F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("c")
     ids = t.patients.select(F.col("id").alias("patient_id"), cohort.alias("cohort"))
@@ -158,12 +179,26 @@ def _pools(t):
     return W.contrastive_pools(t.flag_grid, 60, K.TRAIN_STRIDE)
 
 
-@query("balanced_batches")
+@query(
+    "balanced_batches",
+    f"""WITH p AS (SELECT patient_id, start, greatest({FLAG_LIST}) = 0 AS is_normal FROM ({_labels_sql(60, 15)})),
+          r AS (SELECT *, row_number() OVER (PARTITION BY is_normal ORDER BY {_drawn(42, 'patient_id', 'start')}) - 1 AS rn,
+                count(*) FILTER (is_normal) OVER () // 7 AS b, count(*) FILTER (NOT is_normal) OVER () AS na FROM p),
+          s AS (SELECT DISTINCT rn // 7 AS batch, na, i FROM r, unnest(range(0, 3)) AS u(i) WHERE is_normal AND rn // 7 < b)
+        SELECT rn // 7 AS batch, patient_id, start, is_normal FROM r WHERE is_normal AND rn // 7 < b
+        UNION ALL SELECT batch, patient_id, start, is_normal FROM s JOIN r ON NOT is_normal AND rn = (batch * 3 + i) % s.na""",
+)
 def _(t):
     return splits.balanced_batches(materialize(_pools(t)), 10)
 
 
-@query("cap_per_class")
+@query(
+    "cap_per_class",
+    f"""SELECT patient_id, start, class FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY {_drawn(42, 'patient_id', 'start')}) AS rn
+        FROM (SELECT patient_id, start, CASE WHEN f_missed > 0 THEN 'missed' WHEN f_late > 0 THEN 'late' WHEN f_large > 0 THEN 'large'
+        WHEN f_prolonged > 0 THEN 'prolonged' WHEN f_anaerobic > 0 THEN 'anaerobic' ELSE 'normal' END AS class FROM ({_labels_sql(120, 15)})))
+        WHERE rn <= 50""",
+)
 def _(t):
     from sugartrace.functions import scalars
 

@@ -204,7 +204,7 @@ def _(t):
 )
 def _(t):
     owners = t.patients.select(F.col("id").alias("patient_id"), "external_id")
-    return joins.salted_join(t.glucoses, owners, ["patient_id"], "id").select("id", "external_id", "glucose_mmoll")
+    return joins.lookup_join(t.glucoses, owners, ["patient_id"]).select("id", "external_id", "glucose_mmoll")
 
 
 @query("semi_patient_in_file", "SELECT id, external_id FROM patients WHERE id IN (SELECT patient_id FROM cohort)")

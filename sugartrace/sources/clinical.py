@@ -25,7 +25,7 @@ XML_FIELDS = ("ts", "value", "ts_begin", "ts_end", "dose", "bwz_carb_input", "ca
 
 def _on_clock(rows: DataFrame, origin: DataFrame, ts: str, name: str = "minute") -> DataFrame:
     """Whole minutes since the patient's first glucose."""
-    out = joins.salted_join(rows, origin, [PID], ts)
+    out = joins.lookup_join(rows, origin, [PID])
     return out.withColumn(name, scalars.minutes_between(F.col(ts), F.col("t0"))).drop("t0")
 
 
@@ -34,7 +34,7 @@ def _first_per_minute(rows: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def _inside(rows: DataFrame, last: DataFrame) -> DataFrame:
-    return joins.salted_join(rows, last, [PID], "minute").filter((F.col("minute") >= 0) & (F.col("minute") <= F.col("_end"))).drop("_end")
+    return joins.lookup_join(rows, last, [PID]).filter((F.col("minute") >= 0) & (F.col("minute") <= F.col("_end"))).drop("_end")
 
 
 def _ends(glucose: DataFrame) -> DataFrame:

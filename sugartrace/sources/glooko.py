@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugartrace.operators.joins import salted_join
+from sugartrace.operators.joins import lookup_join
 from sugartrace.sources import text
 
 # Column names, preamble and date formats of the export (fixed values).
@@ -77,7 +77,7 @@ def parse_lines(lines: DataFrame, tz: str = "UTC") -> DataFrame:
         F.min(F.when(~F.col("line").rlike(PREAMBLE), F.col("line_no"))).alias("_at"),
     )
     heads = heads.select("file", "entry", text.cells(F.col("_h"), F.lit(",")).alias("names"), "_at")
-    body = salted_join(rows, heads, ["file", "entry"], "line_no").filter("line_no > _at AND trim(line) <> ''")
+    body = lookup_join(rows, heads, ["file", "entry"]).filter("line_no > _at AND trim(line) <> ''")
     body = body.withColumn("row", text.cells(F.col("line"), F.lit(",")))
     get = lambda name: text.cell(F.col("row"), F.col("names"), name)
     value = lambda name: text.number(get(name), decimal_comma=True)

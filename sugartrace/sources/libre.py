@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sugartrace.functions import scalars
-from sugartrace.operators.joins import salted_join
+from sugartrace.operators.joins import lookup_join
 from sugartrace.sources import text
 
 # Column names and date formats of the export (fixed values).
@@ -41,7 +41,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     headers = useful.filter(is_header).groupBy("file").agg(F.min_by(
         F.struct(text.cells(F.col("line"), delimiter).alias("names"), delimiter.alias("delimiter")), "seq"
     ).alias("h"))
-    rows = salted_join(useful.filter(~is_header), headers, ["file"], "line")
+    rows = lookup_join(useful.filter(~is_header), headers, ["file"])
     rows = rows.withColumn("row", text.cells(F.col("line"), F.col("h.delimiter")))
     get = lambda name: text.cell(F.col("row"), F.col("h.names"), name)
     rows = rows.select(

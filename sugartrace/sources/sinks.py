@@ -54,7 +54,7 @@ def upsert_patients(existing: DataFrame, incoming: DataFrame, now) -> DataFrame:
 
 def overwrite_window(anomalies: DataFrame, windows: DataFrame, detected: DataFrame) -> DataFrame:
     """Replace each patient's anomalies inside the detected window by the new ones."""
-    marked = joins.salted_join(anomalies, windows, [PID], "detected_at", "left")
+    marked = joins.lookup_join(anomalies, windows, [PID], "left")
     inside = F.col("range_start").isNotNull() & F.col("detected_at").between(F.col("range_start"), F.col("range_end"))
     kept = marked.filter(~F.coalesce(inside, F.lit(False))).drop("range_start", "range_end")
     return kept.unionByName(detected, allowMissingColumns=True)
@@ -151,14 +151,26 @@ def build_channel_rows(glucoses: DataFrame, insulins: DataFrame, meals: DataFram
 
 
 def write_swapped(df: DataFrame, path: str) -> None:
-    """Replace a Parquet table that `df` itself reads: write beside it, then swap the folders."""
+    """Replace a Parquet table that `df` itself reads: write beside it, then swap the folders.
+
+    The old folder goes last, and only when the new one stands in its place. A rename that fails raises and leaves,
+    or puts back, the old table; a table that a crash left aside is put back first.
+    """
     spark = df.sparkSession
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     fresh, old = jvm.org.apache.hadoop.fs.Path(path + "._new"), jvm.org.apache.hadoop.fs.Path(path + "._old")
+    if fs.exists(old) and not fs.exists(folder):
+        fs.rename(old, folder)  # a run ended between its renames
     df.write.mode("overwrite").parquet(path + "._new")
-    if fs.exists(folder):
-        fs.rename(folder, old)
-    fs.rename(fresh, folder)
-    fs.delete(old, True)
+    if fs.exists(folder) and fs.exists(old):
+        fs.delete(old, True)  # the table stands, so what is beside it is a leftover
+    if fs.exists(folder) and not fs.rename(folder, old):
+        raise OSError(f"{path} could not be moved aside; it is unchanged")
+    if not fs.rename(fresh, folder):
+        if fs.exists(old):
+            fs.rename(old, folder)
+        raise OSError(f"{path}._new could not take the place of {path}")
+    if fs.exists(old):
+        fs.delete(old, True)

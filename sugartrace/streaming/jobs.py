@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sugartrace import constants as K
+from sugartrace.sources import sinks
 
 PID = "patient_id"
 
@@ -19,9 +20,13 @@ def dedupe(events: DataFrame, keys: Sequence[str] = (PID, "timestamp"), delay: s
 
 def ingest(events: DataFrame, target: str, checkpoint: str, keys: Sequence[str] = (PID, "timestamp")):
     """Append first arrivals to a Parquet table. Each batch writes its own folder, so a replay
-    after a failure overwrites itself instead of adding rows twice."""
+    after a failure overwrites itself instead of adding rows twice. Keys that earlier batches stored are
+    left out, however late a repeat comes."""
 
     def write(batch: DataFrame, number: int) -> None:
+        if number:
+            stored = batch.sparkSession.read.parquet(target).where(F.col("batch") != number)
+            batch = sinks.anti_existing(batch, stored, keys)
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return (

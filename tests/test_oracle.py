@@ -6,15 +6,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sugartrace.plans.registry import QUERIES
+from sugartrace.session import staging
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
-# Queries whose result SQL cannot give (recursions, fits, seeded draws, file profiles); other tests cover them.
+# Queries whose result SQL cannot give (recursions, fits, drawn artefacts, file profiles); other tests cover them.
 ROWS_ONLY = {
-    "birth_date_synthetic", "describe_parquet", "derive_events", "iob_cob", "arx_fit", "arx_residual", "score_windows_arx",
+    "describe_parquet", "derive_events", "iob_cob", "arx_fit", "arx_residual", "score_windows_arx",
     "ood_fit", "ood_distance", "gmm_score", "diary_events", "inject_channel", "artifact_jumps", "artifact_compression",
-    "artifact_dropouts", "apply_artifacts", "patient_split", "cohort_split", "pooled_split", "balanced_batches",
-    "cap_per_class", "read_realdata_generic",
+    "artifact_dropouts", "apply_artifacts", "read_realdata_generic",
 }
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables not present")
@@ -35,13 +36,14 @@ def normal(columns, rows):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(entry.queries()) - set(SQL) == ROWS_ONLY
+    assert set(QUERIES) - set(SQL) == ROWS_ONLY
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    df = entry.queries()[name](spark, FOLDER)
-    rows = [tuple(r) for r in df.collect()]
+    with staging(spark):
+        df = entry.queries()[name](spark, FOLDER)
+        rows = [tuple(r) for r in df.collect()]
     if name not in SQL:
         assert rows or name == "diary_events"
         return

@@ -118,9 +118,9 @@ def test_interval_join_meets_each_pair_once(table, width):
     assert got == sorted((i, p) for k, t, i in probes for q, p in points if q == k and t - 4 <= p <= t + 9)
 
 
-def test_salted_join_keeps_unmatched_on_left_join(table):
+def test_lookup_join_keeps_unmatched_on_left_join(table):
     facts = table([(1, 10), (1, 11), (2, 12)], "k int, i int")
-    out = joins.salted_join(facts, table([(1, "a")], "k int, x string"), ["k"], "i", "left")
+    out = joins.lookup_join(facts, table([(1, "a")], "k int, x string"), ["k"], "left")
     assert sorted((r.k, r.i, r.x or "") for r in out.collect()) == [(1, 10, "a"), (1, 11, "a"), (2, 12, "")]
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sugartrace import constants as K
 from sugartrace.functions import scalars
 from sugartrace.operators import aggregates as agg
 from sugartrace.operators import artifacts, compare, ranking, splits, timerange
@@ -169,26 +170,26 @@ def flat(table, days=3, patients=(1, 2)):
 
 def test_artifacts_off_is_identity(table):
     grid = flat(table, 1)
-    out = artifacts.apply_artifacts(grid, artifacts.ArtifactConfig(intensity=0.0))
+    out = artifacts.apply_artifacts(grid, artifacts.Artefacts(on=False))
     assert out.filter("glucose <> 8.0 OR NOT valid OR artifact <> 0").count() == 0
 
 
 def test_artifacts_repeat_and_hold_their_bounds(table):
-    cfg = artifacts.ArtifactConfig(jumps_per_14d=14.0, compressions_per_14d=14.0, dropout_pct=0.1)
+    cfg = artifacts.Artefacts(jumps=artifacts.Jumps(14.0), dips=artifacts.Dips(14.0), gaps=artifacts.Gaps(0.1))
     grid = flat(table)
     rows = artifacts.apply_artifacts(grid, cfg)
     first, again = sorted(map(tuple, rows.collect())), sorted(map(tuple, artifacts.apply_artifacts(grid.repartition(5), cfg).collect()))
     assert first == again
     glucose = [r.glucose for r in rows.collect()]
-    assert min(glucose) >= artifacts.CGM_FLOOR
+    assert min(glucose) >= K.SENSOR_FLOOR
     share = rows.agg(F.avg((~F.col("valid")).cast("double"))).collect()[0][0]
     assert 0.04 < share < 0.2
     assert rows.filter("(artifact = 1) = valid").count() == 0
-    assert first != sorted(map(tuple, artifacts.apply_artifacts(grid, artifacts.ArtifactConfig(seed=1)).collect()))
+    assert first != sorted(map(tuple, artifacts.apply_artifacts(grid, artifacts.Artefacts(seed=1)).collect()))
 
 
 def test_jumps_persist_and_dropouts_draw_a_line(table):
-    cfg = artifacts.ArtifactConfig(jumps_per_14d=28.0)
+    cfg = artifacts.Artefacts(jumps=artifacts.Jumps(28.0))
     grid = flat(table, 3, (1,)).withColumn("artifact", F.lit(0))
     days = artifacts.patient_days(grid)
     deltas = {r.minute: r.delta for r in artifacts.jumps(days, cfg).collect()}
