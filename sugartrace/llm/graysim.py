@@ -28,6 +28,7 @@ SEED = 42
 BITS = 64
 PIECE = 50_000  # shingles whose bits are unpacked at a time
 NODE = 32  # fingerprints in a node, nodes in a higher node
+SIZED_FOR = 1 << 20  # fingerprints the masks suit at least, so work grows evenly up to there
 HELD = 200_000  # rows a task holds before it joins the groups it has read whole
 
 
@@ -157,7 +158,7 @@ def links_of(groups: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarr
 
 def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) that connect all distinct values of `fps` (fp) within `radius` bits."""
-    count = fps.count()
+    count = max(fps.count(), SIZED_FOR)
     segments = radius + 1
     while count > 2 ** (8 + BITS * (segments - radius) // segments) and segments < radius + 4:
         segments += 1
