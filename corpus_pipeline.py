@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sugartrace.llm import crf, decontam, graysim, mixing, repair
+from sugartrace.llm import crf, decontam, mixing, neardup, repair
 from sugartrace.llm.common import read
 from sugartrace.session import materialize
 
 KEPT_FROM = 0.3
 SHINGLE = 5
-# Differing bits of near-duplicates: at similarity 0.8 two fingerprints differ in 10 bits on average, so pairs this near
-# are above 0.8 nearly always.
-RADIUS = 7
+RADIUS = neardup.RADIUS  # differing bits up to which a pair always is compared; similarity decides
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest doc_id, and of its rows the first text."""
-    return graysim.one_of_each(docs, SHINGLE, RADIUS)
+    return neardup.one_of_each(docs, SHINGLE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,28 +214,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 def component_rows(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return near_duplicates(docs, size=size, radius=radius).select("doc_id", digits, "component_id")
-
-
-BROADCAST_ROWS = 1_000_000  # keys that may be broadcast; more are joined by a shuffle
-
-
-def one_of_each(docs: DataFrame, size: int = 5, radius: int = 3) -> DataFrame:
-    """`docs` with one row of each component: the smallest doc_id (null before any), then the smallest hash of the text.
-
-    Equal rows are one group, so one stays. Other columns come along unchanged.
-    """
-    text_key = F.xxhash64("text")
-    keyed = docs.select(F.struct("doc_id", text_key.alias("text_key")).alias("key"), "text")
-    classes = materialize(near_duplicates(keyed, key="key", size=size, radius=radius))
-    keys = classes.groupBy("key", "component_id").agg(F.count("*").alias("rows"))
-    keys = keys.select(
-        F.col("key.doc_id").alias("_id"), F.col("key.text_key").alias("_key"), "rows", (F.col("key") == F.col("component_id")).alias("first")
-    )
-    keys = materialize(keys.where("not first or rows > 1"))
-    small = keys.count() <= BROADCAST_ROWS
-    bound = lambda df: F.broadcast(df) if small else df
-    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key == F.col("_key"))
-    single = docs.join(bound(keys), own, "left_anti")
-    repeated = docs.join(bound(keys.where("first")), own, "left_semi")
-    repeated = repeated.withColumn("_key", text_key).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return single.unionByName(repeated)
