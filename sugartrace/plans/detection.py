@@ -542,7 +542,7 @@ def _(t):
 @query("gmm_score")
 def _(t):
     vectors = t.read("embeddings")
-    fitted = embedding.mixture_fit(vectors.filter("label = 0"), ks=(2, 3), max_iter=10)
+    fitted = embedding.mixture_fit(vectors.filter("label = 0"))
     return embedding.mixture_score(vectors, *fitted).select("vec_id", "label", "score")
 
 

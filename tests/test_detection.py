@@ -178,3 +178,19 @@ def test_mean_embedding_diary(table):
     out = detect.diary(scored, calibrate.threshold_leading(scored, 100), vectors, labels,
                        lambda z: F.get(z, F.lit(0)), 1000.0, ["normal", "missed"]).collect()
     assert [tuple(r) for r in out] == [(1, 620, 665, 9.0, "missed", 502.5, False, True, "late")]
+
+
+def test_gmm_score_tries_all_sizes_of_the_operator(table):
+    from types import SimpleNamespace
+
+    from sugartrace.plans import detection  # noqa: F401
+    from sugartrace.plans.registry import QUERIES
+
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(60, 2)) + centre for centre in ([0, 0], [30, 0], [0, 30], [30, 30], [70, 80])])
+    df = table([(i, 0, p.tolist()) for i, p in enumerate(points)], "vec_id int, label int, embedding array<double>")
+    got = {r.vec_id: r.score for r in QUERIES["gmm_score"](SimpleNamespace(read=lambda name: df)).collect()}
+    expected = {r.vec_id: r.score for r in embedding.mixture_score(df, *embedding.mixture_fit(df)).collect()}
+    few = {r.vec_id: r.score for r in embedding.mixture_score(df, *embedding.mixture_fit(df, ks=(2, 3), max_iter=10)).collect()}
+    assert np.allclose([got[i] for i in range(300)], [expected[i] for i in range(300)], atol=1e-3)
+    assert np.mean(list(got.values())) < np.mean(list(few.values())) - 0.1
