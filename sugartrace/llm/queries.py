@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sugartrace.llm import compact, crf, decontam, graysim, mixing, pivots, repair, runindex, sql, templates, toxicity
+from sugartrace.llm import compact, crf, decontam, fim, graysim, mixing, periodic, pivots, repair, runindex, sql, templates, toxicity
+from sugartrace.llm import warc
 from sugartrace.llm.common import read
 
 
@@ -50,6 +51,18 @@ def op10_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return graysim.component_rows(read(spark, folder, "documents"))
 
 
+def op11_revisit_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.page_rows(read(spark, folder, "pages"))
+
+
+def op12_captured_middles(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.middle_rows(read(spark, folder, "documents"))
+
+
+def op13_grammar_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_rows(read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: run for name, run in globals().items() if name.startswith("op") and callable(run)
 }

@@ -151,3 +151,48 @@ SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
        sha256(from_hex(CASE WHEN tail IS NULL THEN x ELSE head || substr(x, 2 * tail + 1) END)) AS kept_sha256
 FROM docs LEFT JOIN cut USING (doc_id)
 """
+
+op11_revisit_archives = r"""
+WITH records AS (
+  SELECT page_id, url, coalesce(html, '') AS body FROM pages
+), coded AS (
+  SELECT page_id, url, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS hexa FROM records
+), digests AS (
+  SELECT page_id, url, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(hexa, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest
+  FROM coded
+), ranked AS (
+  SELECT *, row_number() OVER same AS place, first(page_id) OVER same AS original FROM digests
+  WINDOW same AS (PARTITION BY payload_digest, payload_bytes ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN original END AS refers_to
+FROM ranked
+"""
+
+op12_captured_middles = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+), drawn AS (
+  SELECT doc_id, text, units, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS one,
+         ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS two,
+         text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+           OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 AS plain,
+         ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 AS spm
+  FROM cut
+), parts AS (
+  SELECT *, array_to_string(units[:least(one, two)], '') AS prefix,
+         array_to_string(units[least(one, two) + 1:greatest(one, two)], '') AS middle,
+         array_to_string(units[greatest(one, two) + 1:], '') AS suffix
+  FROM drawn
+)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                   ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(prefix || middle || suffix) AS restored_sha256
+FROM parts
+"""
