@@ -39,6 +39,7 @@ NEAR = 16  # shorter periods are tried by comparing
 AROUND = 5  # words around a border that recur one short period away
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_ODD = 0x2545F491
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -91,7 +92,9 @@ def grammar(words: np.ndarray, starts: np.ndarray) -> tuple[list[tuple[np.ndarra
         if not len(places):
             break
         rank = np.zeros(len(live) + 2, np.int64)
-        rank[places + 1] = times[kind] * len(pairs) + kind + 1
+        # Equally frequent pairs in no order of the text, or a repeated passage would shrink by one pair a round.
+        bits = len(pairs).bit_length()
+        rank[places + 1] = (times[kind] << bits) + ((kind + 1) * _ODD & ((1 << bits) - 1))
         here, left, right = rank[places + 1], rank[places], rank[places + 2]
         # In a stretch of one repeated symbol every other pair is taken, beginning where no greater pair is in the way.
         heads = np.flatnonzero(here != left)
