@@ -255,6 +255,25 @@ def series_lengths(rows: DataFrame) -> DataFrame:
     return rows.groupBy(PID).agg((F.max("minute") + 1).alias("T"))
 
 
+def valid_stretches(rows: DataFrame, gap: int = K.MAX_GAP_MIN, block: int = K.MINUTES_PER_DAY) -> DataFrame:
+    """(patient, first, last) of the longest stretches whose minutes are all valid: samples at most `gap` minutes apart.
+
+    Stretches of a block of minutes come first, from one shuffle of the samples; what meets at the borders of
+    blocks is joined over those stretches, one row a block and gap.
+    """
+    samples = rows.filter("glucose IS NOT NULL").select(PID, "minute")
+    inside = Window.partitionBy(PID, ordered.BLOCK).orderBy("minute")
+    opens = F.coalesce((F.col("minute") - F.lag("minute").over(inside) > gap).cast("int"), F.lit(0))
+    cut = ordered.with_block(samples, "minute", block).withColumn("_opens", opens)
+    cut = cut.withColumn("_part", F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = cut.groupBy(PID, ordered.BLOCK, "_part").agg(F.min("minute").alias("first"), F.max("minute").alias("last"))
+    across = Window.partitionBy(PID).orderBy("first")
+    opens = F.coalesce((F.col("first") - F.lag("last").over(across) > gap).cast("long"), F.lit(0))
+    parts = parts.withColumn("_opens", opens)
+    parts = parts.withColumn("_run", F.sum("_opens").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy(PID, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+
+
 def rolling_median(
     grid: DataFrame, column: str, name: str = "median", window: int = K.BASAL_MEDIAN_WINDOW,
     edge: str = "reflect", tile: int = 720, lengths: DataFrame | None = None,

@@ -1,8 +1,9 @@
 """Sliding windows over dense minute series.
 
-A series is cut into tiles with a halo of one window, so every window lies inside one tile
-and a task holds bounded arrays of a stretch of one patient. Windows are sliced at the
-strided starts only; no frame is evaluated at the minutes in between.
+Labels and starts need no window: flagged minutes meet the starts they reach as maxima of blocks,
+and valid stretches are counted off. Where the values of a window are wanted, a series is cut into
+tiles with a halo of one window, so every window lies inside one tile and a task holds bounded
+arrays of a stretch of one patient; windows are sliced at the strided starts only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugartrace import constants as K
-from sugartrace.operators import joins, ordered
+from sugartrace.operators import joins, ordered, series
 
 PID = "patient_id"
 FLAGS = tuple(f"f_{c}" for c in K.CLASSES)
@@ -61,7 +62,7 @@ def window_counts(lengths: DataFrame, length: int, stride: int) -> DataFrame:
     )
 
 
-def window_index(grid: DataFrame, length: int, stride: int, lengths: DataFrame | None = None) -> DataFrame:
+def window_index(grid: DataFrame | None, length: int, stride: int, lengths: DataFrame | None = None) -> DataFrame:
     """Starts of complete windows; a start is a strided minute far enough from the end.
 
     With `lengths` (patient, T) of dense series from minute 0 the starts are arithmetic and the grid is not read.
@@ -77,32 +78,73 @@ def window_index(grid: DataFrame, length: int, stride: int, lengths: DataFrame |
     return joins.lookup_join(strided, lengths, [PID]).filter(F.col("start") + length <= F.col("T")).drop("T")
 
 
-def window_labels(grid: DataFrame, length: int, stride: int, flags: Sequence[str] = FLAGS) -> DataFrame:
-    cut = windows(grid, flags, length, stride)
-    return cut.select(PID, "start", *[F.array_max(f).alias(f) for f in flags])
+def window_labels(
+    rows: DataFrame, lengths: DataFrame, length: int, stride: int, flags: Sequence[str] = FLAGS, skip: int = 0
+) -> DataFrame:
+    """Largest value of each flag in minutes `[start + skip, start + length)` of every complete window.
+
+    `rows` (patient, minute, flags) may be sparse: a minute without row, or with null, counts as 0, and flags are not negative.
+    `lengths` (patient, T) are those of dense series from minute 0, so the starts are arithmetic and no window is built. Flagged minutes
+    become maxima of blocks of one stride, whole and of the part that only just reaches into a window; a window is some
+    whole blocks and one such part. Blocks meet the starts in one aggregation.
+    """
+    whole, rest = divmod(length - skip, stride)
+    at = F.col("minute") - skip
+    block = F.floor(at / F.lit(stride))
+    part = (at - block * stride) < rest
+    blocks = (
+        rows.filter((at >= 0) & (F.greatest(*flags, F.lit(0.0)) > 0))
+        .groupBy(PID, block.alias("_block"))
+        .agg(
+            *[F.max(f).alias(f"_w_{f}") for f in flags],
+            *[F.max(F.when(part, F.col(f))).alias(f"_p_{f}") for f in flags],
+        )
+    )
+    first = F.greatest(F.col("_block") - whole + (0 if rest else 1), F.lit(0).cast("long"))
+    reached = blocks.filter(first <= F.col("_block")).withColumn("_i", F.explode(F.sequence(first, F.col("_block"))))
+    inside = F.col("_i") > F.col("_block") - whole
+    reached = reached.select(
+        PID,
+        (F.col("_i") * stride).alias("start"),
+        *[F.when(inside, F.col(f"_w_{f}")).otherwise(F.col(f"_p_{f}")).cast("double").alias(f) for f in flags],
+        F.lit(None).cast("boolean").alias("_start"),
+    )
+    starts = window_index(None, length, stride, lengths)
+    starts = starts.select(PID, "start", *[F.lit(0.0).alias(f) for f in flags], F.lit(True).alias("_start"))
+    met = starts.unionAll(reached).groupBy(PID, "start").agg(*[F.max(f).alias(f) for f in flags], F.max("_start").alias("_start"))
+    return met.filter("_start").drop("_start")
 
 
-def clean_windows(grid: DataFrame, length: int, stride: int, flags: Sequence[str] = FLAGS) -> DataFrame:
+def clean_windows(rows: DataFrame, lengths: DataFrame, length: int, stride: int, flags: Sequence[str] = FLAGS) -> DataFrame:
     """Windows without any flag."""
-    return window_labels(grid, length, stride, flags).filter(F.greatest(*flags) == 0).select(PID, "start")
+    return window_labels(rows, lengths, length, stride, flags).filter(F.greatest(*flags) == 0).select(PID, "start")
 
 
-def contrastive_pools(grid: DataFrame, length: int, stride: int, flags: Sequence[str] = FLAGS) -> DataFrame:
-    labelled = window_labels(grid, length, stride, flags)
+def contrastive_pools(rows: DataFrame, lengths: DataFrame, length: int, stride: int, flags: Sequence[str] = FLAGS) -> DataFrame:
+    labelled = window_labels(rows, lengths, length, stride, flags)
     return labelled.select(PID, "start", (F.greatest(*flags) == 0).alias("is_normal"))
 
 
-def valid_windows(grid: DataFrame, length: int = K.FORECAST_WINDOW, stride: int = K.SCORE_STRIDE) -> DataFrame:
-    """Starts whose every minute is valid."""
-    cut = windows(grid, ["valid"], length, stride)
-    return cut.filter(F.forall("valid", lambda v: v)).select(PID, "start")
+def valid_windows(
+    rows: DataFrame, length: int = K.FORECAST_WINDOW, stride: int = K.SCORE_STRIDE, gap: int = K.MAX_GAP_MIN
+) -> DataFrame:
+    """Starts whose every minute is valid, from the glucose samples: a valid stretch holds all its windows, so its starts are
+    counted off and no minute in between is looked at. Long stretches are dealt out in pieces of STARTS starts."""
+    stretches = series.valid_stretches(rows, gap)
+    step = F.lit(stride).cast("long")
+    low, high = F.ceil(F.col("first") / step), F.floor((F.col("last") - (length - 1)) / step)
+    pieces = F.explode(F.sequence(F.floor(F.col("_low") / STARTS), F.floor(F.col("_high") / STARTS))).alias("_piece")
+    cut = stretches.select(PID, low.alias("_low"), high.alias("_high")).filter("_low <= _high").select(PID, "_low", "_high", pieces)
+    from_ = F.greatest(F.col("_low"), F.col("_piece") * STARTS)
+    to = F.least(F.col("_high"), (F.col("_piece") + 1) * STARTS - 1)
+    return cut.select(PID, F.explode(F.sequence(from_, to)).alias("_i")).select(PID, (F.col("_i") * step).alias("start"))
 
 
 def horizon_labels(
-    grid: DataFrame, stride: int, context: int = K.CONTEXT_LEN, horizon: int = K.HORIZON, flags: Sequence[str] = FLAGS
+    rows: DataFrame, lengths: DataFrame, stride: int, context: int = K.CONTEXT_LEN, horizon: int = K.HORIZON,
+    flags: Sequence[str] = FLAGS,
 ) -> DataFrame:
-    cut = windows(grid, flags, context + horizon, stride)
-    return cut.select(PID, "start", *[F.array_max(F.slice(f, context + 1, horizon)).alias(f) for f in flags])
+    return window_labels(rows, lengths, context + horizon, stride, flags, skip=context)
 
 
 def forecast_windows(

@@ -171,7 +171,7 @@ def _labels_sql(length: int, stride: int) -> str:
 
 @query("window_labels", _labels_sql(120, 15))
 def _(t):
-    return W.window_labels(t.flag_grid, K.CONTEXT_LEN, K.TRAIN_STRIDE)
+    return W.window_labels(t.flags, t.lengths, K.CONTEXT_LEN, K.TRAIN_STRIDE)
 
 
 @query(
@@ -182,7 +182,7 @@ def _(t):
 def _(t):
     from sugartrace.functions import scalars
 
-    labels = W.window_labels(t.flag_grid, K.CONTEXT_LEN, K.TRAIN_STRIDE)
+    labels = W.window_labels(t.flags, t.lengths, K.CONTEXT_LEN, K.TRAIN_STRIDE)
     return labels.select("patient_id", "start", scalars.window_class([F.col(f) for f in FLAGS]).alias("class"))
 
 
@@ -193,13 +193,13 @@ def _(t):
 def _(t):
     from sugartrace.functions import scalars
 
-    labels = W.window_labels(t.flag_grid, K.CONTEXT_LEN, K.TRAIN_STRIDE)
+    labels = W.window_labels(t.flags, t.lengths, K.CONTEXT_LEN, K.TRAIN_STRIDE)
     return labels.select("patient_id", "start", scalars.any_flag([F.col(f) for f in FLAGS]).alias("label"))
 
 
 @query("clean_window_index", f"SELECT patient_id, start FROM ({_labels_sql(160, 15)}) WHERE greatest({FLAG_LIST}) = 0")
 def _(t):
-    return W.clean_windows(t.flag_grid, K.FORECAST_WINDOW, K.TRAIN_STRIDE)
+    return W.clean_windows(t.flags, t.lengths, K.FORECAST_WINDOW, K.TRAIN_STRIDE)
 
 
 @query(
@@ -207,17 +207,17 @@ def _(t):
     f"SELECT patient_id, start, greatest({FLAG_LIST}) = 0 AS is_normal FROM ({_labels_sql(120, 15)})",
 )
 def _(t):
-    return W.contrastive_pools(t.flag_grid, K.CONTEXT_LEN, K.TRAIN_STRIDE)
+    return W.contrastive_pools(t.flags, t.lengths, K.CONTEXT_LEN, K.TRAIN_STRIDE)
 
 
 @query("valid_window_starts", "SELECT patient_id, start FROM scored")
 def _(t):
-    return W.valid_windows(t.grid)
+    return W.valid_windows(t.channels)
 
 
 @query("horizon_labels", f"SELECT patient_id, start, {FLAG_LIST} FROM horizon_flags")
 def _(t):
-    return W.horizon_labels(t.flag_grid, K.SCORE_STRIDE)
+    return W.horizon_labels(t.flags, t.lengths, K.SCORE_STRIDE)
 
 
 @query(

@@ -176,7 +176,7 @@ def _(t):
 
 
 def _pools(t):
-    return W.contrastive_pools(t.flag_grid, 60, K.TRAIN_STRIDE)
+    return W.contrastive_pools(t.flags, t.lengths, 60, K.TRAIN_STRIDE)
 
 
 @query(
@@ -202,7 +202,7 @@ def _(t):
 def _(t):
     from sugartrace.functions import scalars
 
-    rows = W.window_labels(t.flag_grid, K.CONTEXT_LEN, K.TRAIN_STRIDE)
+    rows = W.window_labels(t.flags, t.lengths, K.CONTEXT_LEN, K.TRAIN_STRIDE)
     named = rows.select("patient_id", "start", scalars.window_class([F.col(f) for f in FLAGS]).alias("class"))
     return splits.cap_per_class(named, 50)
 
