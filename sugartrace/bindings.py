@@ -13,16 +13,27 @@ from sugartrace.session import materialize, tune
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, low: int | None = None, high: int | None = None):
         self.spark = tune(spark)
         self.folder = folder.rstrip("/")
+        self.low, self.high = low, high
+
+    def during(self, low: int | None, high: int | None) -> Tables:
+        """The same tables with only the events of the minutes between two times in microseconds."""
+        return Tables(self.spark, self.folder, low, high)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def events(self) -> DataFrame:
-        return self.read("events").select(
+        rows = self.read("events")
+        if self.low is not None and self.high is not None:
+            # On the column as stored and with constants, so that the scan skips row groups.
+            kind = rows.schema["ts"].dataType
+            low, high = (F.timestamp_micros(F.lit(x)).cast(kind) for x in (self.low, self.high + 60_000_000))
+            rows = rows.filter((F.col("ts") >= low) & (F.col("ts") < high))
+        return rows.select(
             "event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts")
         )
 

@@ -309,10 +309,11 @@ def latest_reading(readings: DataFrame) -> DataFrame:
     return joins.last_by(readings, [PID], ["timestamp", "id"], ["id", "timestamp", "glucose_mmoll", "status"])
 
 
-def patient_panel(
-    patients: DataFrame, readings: DataFrame, bounds: DataFrame, anomalies: DataFrame, requests: DataFrame
-) -> DataFrame:
-    """Latest reading, time in range, average, HbA1c and anomaly counts of every patient in one plan."""
+def patient_panel(patients: DataFrame, readings: DataFrame, bounds: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """Latest reading, time in range, average, HbA1c and anomaly counts of every patient in one plan.
+
+    `bounds` are those of `timerange.request_bounds`.
+    """
     from sugartrace.operators import timerange
 
     facts = joins.lookup_join(readings, bounds, [PID], "left")
@@ -324,7 +325,7 @@ def patient_panel(
         F.count_if(inside & (v >= K.LOW) & (v <= K.HIGH)).alias("_in"),
         rounding.settled(F.avg(F.when(inside, v))).alias("average_mmoll"),
     )
-    shown = timerange.anomalies_in_window(anomalies, requests, readings)
+    shown = timerange.anomalies_in_window(anomalies, bounds)
     counts = shown.groupBy(PID).agg(
         F.count(F.lit(1)).alias("anomalies"), F.count_if(~F.col("is_acknowledged")).alias("pending")
     )

@@ -46,6 +46,14 @@ def resolve_cohort(anchor: DataFrame, last: str | None = None, ts: str = "timest
     return latest.select(low.alias("range_start"), high.alias("range_end"))
 
 
+def span(bounds: DataFrame) -> tuple[int | None, int | None]:
+    """Earliest start and latest end of all windows in microseconds. Two numbers, for the scan that comes before the join;
+    None where no window is usable, or one has no limits (a null `_all` counts as limited)."""
+    free = F.max("_all") if "_all" in bounds.columns else F.lit(False)
+    ends = bounds.agg(F.unix_micros(F.min("range_start")), F.unix_micros(F.max("range_end")), free).first()
+    return (None, None) if ends[2] else (ends[0], ends[1])
+
+
 def in_window(facts: DataFrame, bounds: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Facts inside their patient's window, both ends included."""
     return joins.lookup_join(facts, bounds, [PID]).filter(
@@ -53,14 +61,14 @@ def in_window(facts: DataFrame, bounds: DataFrame, ts: str = "timestamp") -> Dat
     )
 
 
-def anomalies_in_window(anomalies: DataFrame, requests: DataFrame, glucoses: DataFrame) -> DataFrame:
-    """Without any parameter nothing is filtered; otherwise the window anchors on glucose."""
-    bounds = resolve(requests, glucoses).join(
-        requests.select(
-            PID, (F.col("start").isNull() & F.col("end").isNull() & F.col("last").isNull()).alias("_all")
-        ),
-        PID,
-    )
+def request_bounds(requests: DataFrame, glucoses: DataFrame) -> DataFrame:
+    """Windows anchored on glucose, and whether a request has no parameter at all (`_all`)."""
+    free = F.col("start").isNull() & F.col("end").isNull() & F.col("last").isNull()
+    return resolve(requests, glucoses).join(requests.select(PID, free.alias("_all")), PID)
+
+
+def anomalies_in_window(anomalies: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Without any parameter nothing is filtered; otherwise the window of `request_bounds` is."""
     joined = joins.lookup_join(anomalies, bounds, [PID])
     inside = F.col("detected_at").between(F.col("range_start"), F.col("range_end"))
     return joined.filter(F.col("_all") | inside).drop("_all", "range_start", "range_end")

@@ -10,6 +10,8 @@ from sugartrace.operators import aggregates as agg
 from sugartrace.operators import joins, ranking, sets, timerange
 from sugartrace.plans.oracle_views import MEAL, STATUS, day, ts
 from sugartrace.plans.registry import query
+from sugartrace.session import materialize, scratch_path
+from sugartrace.sources.store import EventStore
 
 G = "glucose_mmoll"
 AS_OF = "2024-02-29"
@@ -215,8 +217,8 @@ def _window_filter(table: str, columns: str):
 
     @query(f"window_filter_{table}", sql)
     def _(t):
-        facts = getattr(t, table)
-        inside = timerange.in_window(facts, timerange.resolve(t.requests, facts))
+        bounds = materialize(timerange.resolve(t.requests, getattr(t, table)))
+        inside = timerange.in_window(getattr(t.during(*timerange.span(bounds)), table), bounds)
         totals = inside.groupBy("patient_id").agg(F.count(F.lit(1)).alias("total"))
         names = [c.strip() for c in re.sub(r"round\(\w+, 6\) AS ", "", columns).split(",")]
         counted = joins.lookup_join(inside, totals, ["patient_id"])
@@ -244,13 +246,48 @@ ANOMALY_WINDOW = """SELECT a.* FROM anomalies a JOIN requests r ON r.patient_id
     f"SELECT patient_id, id, round(severity, 6) AS severity, {ts('detected_at')} AS detected_at FROM ({ANOMALY_WINDOW})",
 )
 def _(t):
+    bounds = materialize(timerange.request_bounds(t.requests, t.glucoses))
     return (
-        timerange.anomalies_in_window(t.anomalies, t.requests, t.glucoses)
+        timerange.anomalies_in_window(t.during(*timerange.span(bounds)).anomalies, bounds)
         .select("patient_id", "id", "severity", "detected_at")
         .orderBy("patient_id", F.desc_nulls_last("severity"))
     )
 
 
+def _store(t):
+    """The glucose readings as two uploads into a store by day."""
+    store = EventStore(t.spark, scratch_path(t.spark, "store"))
+    cut = F.lit("2024-01-16").cast("timestamp")
+    for half in (F.col("timestamp") >= cut, F.col("timestamp") < cut):
+        store.append(t.glucoses.filter(half))
+    return store
+
+
+@query(
+    "store_window_filter",
+    f"""SELECT f.patient_id, f.id, {ts('timestamp')} AS timestamp, round(glucose_mmoll, 6) AS glucose_mmoll, status
+        FROM glucoses f JOIN glucoses_bounds b ON b.patient_id = f.patient_id WHERE timestamp >= range_start AND timestamp <= range_end""",
+)
+def _(t):
+    store = _store(t)
+    inside = store.window(materialize(store.resolve(t.requests)))
+    return inside.select("patient_id", "id", "timestamp", "glucose_mmoll", "status")
+
+
+@query(
+    "store_recent_day",
+    f"""SELECT f.patient_id, count(*) AS readings, round(avg(glucose_mmoll), 6) AS average, {ts('max(timestamp)')} AS latest
+        FROM glucoses f JOIN (SELECT max(timestamp) - to_hours(24) AS lo FROM glucoses) ON timestamp >= lo GROUP BY 1""",
+)
+def _(t):
+    store = _store(t)
+    window = timerange.resolve_cohort(store.latest(), "24h")
+    recent = store.between(*timerange.span(window))
+    return recent.groupBy("patient_id").agg(
+        F.count(F.lit(1)).alias("readings"), F.avg("glucose_mmoll").alias("average"), F.max("timestamp").alias("latest")
+    )
+
+
 @query(
     "latest_reading",
     f"""SELECT patient_id, id, {ts('timestamp')} AS timestamp, round(glucose_mmoll, 6) AS glucose_mmoll, status FROM (
@@ -267,7 +304,8 @@ INSIDE = """SELECT f.* FROM glucoses f JOIN glucoses_bounds b ON b.patient_id =
 
 
 def _windowed(t):
-    return timerange.in_window(t.glucoses, timerange.resolve(t.requests, t.glucoses))
+    bounds = materialize(timerange.resolve(t.requests, t.glucoses))
+    return timerange.in_window(t.during(*timerange.span(bounds)).glucoses, bounds)
 
 
 def time_in_range(t):
@@ -509,8 +547,8 @@ def _(t):
             FROM ({ANOMALY_WINDOW}) GROUP BY 1) a ON a.patient_id = p.id""",
 )
 def _(t):
-    bounds = timerange.resolve(t.requests, t.glucoses)
-    return agg.patient_panel(t.patients, t.glucoses, bounds, t.anomalies, t.requests)
+    bounds = timerange.request_bounds(t.requests, t.glucoses)
+    return agg.patient_panel(t.patients, t.glucoses, bounds, t.anomalies)
 
 
 def _label(column: str) -> str:
@@ -619,7 +657,8 @@ TOTAL = "(SELECT count(*) FROM patients) AS total, (SELECT CAST(ceil(count(*) /
         GROUP BY 1, 2 ORDER BY pending DESC, id DESC LIMIT 50""",
 )
 def _(t):
-    ranked = ranking.by_anomalies(t.patients, t.anomalies, timerange.resolve_cohort(t.glucoses))
+    window = materialize(timerange.resolve_cohort(t.glucoses))
+    ranked = ranking.by_anomalies(t.patients, t.during(*timerange.span(window)).anomalies, window)
     rows = ranking.page_with_total(ranked, [F.desc("pending"), F.desc("id")], 1, 50)
     return rows.select("id", "external_id", "pending", "total", "pages")
 
@@ -633,7 +672,8 @@ def _(t):
           / nullif(count(g.id), 0)::DOUBLE, 0.0) DESC, id DESC LIMIT 50""",
 )
 def _(t):
-    ranked = ranking.by_tir(t.patients, t.glucoses, timerange.resolve_cohort(t.glucoses))
+    window = materialize(timerange.resolve_cohort(t.glucoses))
+    ranked = ranking.by_tir(t.patients, t.during(*timerange.span(window)).glucoses, window)
     rows = ranking.page_with_total(ranked, [F.desc("tir"), F.desc("id")], 1, 50)
     return rows.select("id", "external_id", "tir", "total", "pages")
 
