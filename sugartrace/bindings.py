@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sugartrace.functions import scalars
@@ -22,6 +22,10 @@ class Tables:
         """The same tables with only the events of the minutes between two times in microseconds."""
         return Tables(self.spark, self.folder, low, high)
 
+    def merged(self, patients: int) -> Tables:
+        """The same events as those of a few patients with long series."""
+        return Merged(self.spark, self.folder, patients)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -152,6 +156,9 @@ class Tables:
         blocked = ordered.with_time_block(self.events, "ts", 3600)
         return materialize(ordered.row_number(blocked, ["user_id"], ["ts", "event_id"]).drop(ordered.BLOCK))
 
+    def _sensor(self) -> Column:
+        return F.lit(2.5) + F.col("value") % 12.0
+
     @cached_property
     def cgm(self) -> DataFrame:
         """5-minute sensor clock with a 10-minute gap every 29 samples and, for some, one of 65."""
@@ -163,7 +170,7 @@ class Tables:
             F.col("user_id").alias("patient_id"),
             F.col("event_id").alias("id"),
             minute.cast("long").alias("minute"),
-            (F.lit(2.5) + value % 12.0).alias("glucose"),
+            self._sensor().alias("glucose"),
             F.when(kind == "purchase", value % 10.0).alias("units"),
             F.when(kind == "click", value % 90.0).alias("carb_g"),
             "event_type",
@@ -234,3 +241,18 @@ class Tables:
             .alias("exercise_type"),
             (1 + F.col("user_id") % 3).alias("base_scenario"),
         )
+
+
+class Merged(Tables):
+    """Users folded into a few patients, whose series run for days, with an hour of high glucose now and then."""
+
+    def __init__(self, spark: SparkSession, folder: str, patients: int):
+        super().__init__(spark, folder)
+        self.count = patients
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return super().events.withColumn("user_id", F.col("user_id") % self.count)
+
+    def _sensor(self) -> Column:
+        return super()._sensor() + F.when(F.col("rn") % 311 < 12, F.lit(9.0)).otherwise(F.lit(0.0))

@@ -57,27 +57,37 @@ def distance_expression(mean: Sequence[float], inverse) -> Callable[[Column], Co
     return distance
 
 
+PART_ROWS = 200_000
+
+
 def mixture_fit(
     normal: DataFrame, column: str = "embedding", ks: Sequence[int] = (2, 3, 5, 8, 10, 15, 20, 30, 40),
     variance: float = 0.95, max_iter: int = 200, seed: int = 42, max_rows: int = 0,
 ):
     """PCA to the wanted variance, then the mixture size with the lowest BIC. EM runs on all rows;
-    `max_rows` > 0 fits on a seeded sample of about that size."""
-    rows = normal.select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
+    `max_rows` > 0 fits on about that many, chosen by a hash of the vector.
+
+    EM's seeded start takes rows by their place. Equal vectors become one weighted row, and rows are dealt by
+    hash and sorted, so their places, the start and the order of summation inside a task depend on the vectors alone,
+    not on the files they came from.
+    """
+    rows = normal.filter(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("x"))
     if max_rows:
         total = rows.count()
         if total > max_rows:
-            rows = rows.sample(max_rows / total, seed=seed)
-    rows = materialize(rows)
-    width = len(rows.first()["features"])
-    full = PCA(k=width, inputCol="features", outputCol="reduced").fit(rows)
+            rows = rows.filter(F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * max_rows / total))
+    weighted = materialize(rows.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    places, n, width = weighted.agg(F.count(F.lit(1)), F.sum("weight"), F.max(F.size("x"))).first()
+    vectors = rows.select(array_to_vector("x").alias("features"))
+    full = PCA(k=width, inputCol="features", outputCol="reduced").fit(vectors)
     dims = int(np.searchsorted(np.cumsum(full.explainedVariance.toArray()), variance) + 1)
-    pca = PCA(k=dims, inputCol="features", outputCol="reduced").fit(rows)
-    reduced = materialize(pca.transform(rows).select("reduced"))
-    n = reduced.count()
+    pca = PCA(k=min(dims, width), inputCol="features", outputCol="reduced").fit(vectors)
+    dealt = weighted.repartition(max(1, -(-places // PART_ROWS)), F.xxhash64("x")).sortWithinPartitions("x")
+    reduced = pca.transform(dealt.withColumn("features", array_to_vector("x"))).select("reduced", "weight")
     best = None
     for k in ks:
-        model = GaussianMixture(k=k, featuresCol="reduced", maxIter=max_iter, seed=seed).fit(reduced)
+        mixture = GaussianMixture(k=k, featuresCol="reduced", weightCol="weight", maxIter=max_iter, seed=seed)
+        model = mixture.fit(reduced)
         free = k * dims + k * dims * (dims + 1) / 2 + k - 1
         bic = free * np.log(n) - 2 * model.summary.logLikelihood
         if best is None or bic < best[0]:

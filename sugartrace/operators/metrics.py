@@ -167,7 +167,7 @@ def over_detection(held_out: DataFrame, arms: dict[str, DataFrame]) -> DataFrame
     for arm, thresholds in arms.items():
         flagged = calibrate.flag(held_out, thresholds.select(PID, "threshold"))
         part = flagged.agg(F.count(F.lit(1)).alias("windows"), F.count_if("flagged").alias("flagged")).select(
-            F.lit(arm).alias("arm"), "windows", "flagged", (F.col("flagged") / F.col("windows")).alias("share")
+            F.lit(arm).alias("arm"), "windows", "flagged", (F.col("flagged") / F.nullif("windows", F.lit(0))).alias("share")
         )
         out = part if out is None else out.unionByName(part)
     return out

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sugartrace import constants as K
 from sugartrace.operators import calibrate, detect, embedding, events, forecast, joins, rules, series
 from sugartrace.operators import windows as W
-from sugartrace.plans.oracle_views import ts
+from sugartrace.plans.oracle_views import folded, ts
 from sugartrace.plans.registry import query
 from sugartrace.session import materialize
 
@@ -363,18 +363,19 @@ def _scored(t):
     return materialize(detect.score_series(t.grid))
 
 
+FIVE_DAYS = 5 * K.MINUTES_PER_DAY // K.SCORE_STRIDE  # windows
 LEADING = """SELECT patient_id, count(*) AS n, round(median(score), 6) AS median,
     greatest((quantile_cont(score, 0.75) - quantile_cont(score, 0.25)) / 1.349, 1e-6) AS sigma,
     median(score) + 2.0 * greatest((quantile_cont(score, 0.75) - quantile_cont(score, 0.25)) / 1.349, 1e-6) AS threshold
-    FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY start) AS rn FROM scored) WHERE rn <= 20 GROUP BY 1"""
+    FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY start) AS rn FROM scored) WHERE rn <= 1440 GROUP BY 1"""
 
 
 @query(
     "threshold_leading",
-    f"SELECT patient_id, n, median, round(sigma, 6) AS sigma, round(threshold, 6) AS threshold FROM ({LEADING})",
+    folded(f"SELECT patient_id, n, median, round(sigma, 6) AS sigma, round(threshold, 6) AS threshold FROM ({LEADING})", 4),
 )
 def _(t):
-    return calibrate.threshold_leading(_scored(t), 20)
+    return calibrate.threshold_leading(_scored(t.merged(4)), FIVE_DAYS)
 
 
 @query(
@@ -387,14 +388,17 @@ def _(t):
 
 @query(
     "calibrate_per_patient",
-    f"""WITH c AS (SELECT s.patient_id, count(*) AS windows, count(*) FILTER (score > threshold) AS flagged FROM scored s
+    folded(
+        f"""WITH c AS (SELECT s.patient_id, count(*) AS windows, count(*) FILTER (score > threshold) AS flagged FROM scored s
           JOIN ({LEADING}) l ON l.patient_id = s.patient_id GROUP BY 1)
         SELECT patient_id, windows, flagged, round(100.0 * flagged / windows, 6) AS flagged_pct FROM c
         UNION ALL SELECT NULL, CAST(sum(windows) AS BIGINT), CAST(sum(flagged) AS BIGINT), round(100.0 * sum(flagged) / sum(windows), 6) FROM c""",
+        4,
+    ),
 )
 def _(t):
-    scored = _scored(t)
-    return calibrate.flagged_share(calibrate.flag(scored, calibrate.threshold_leading(scored, 20)))
+    scored = _scored(t.merged(4))
+    return calibrate.flagged_share(calibrate.flag(scored, calibrate.threshold_leading(scored, FIVE_DAYS)))
 
 
 @query(
@@ -498,13 +502,17 @@ def _(t):
 
 @query(
     "persist_filter",
-    f"""SELECT patient_id, rule_label || '_bolus' AS anomaly_type, round(strength / 100.0, 6) AS confidence, severity, {ts('t_start')} AS detected_at
-        FROM ({SURFACED}) WHERE severity >= 2.5""",
+    folded(
+        f"""SELECT patient_id, rule_label || '_bolus' AS anomaly_type, round(strength / 100.0, 6) AS confidence, severity,
+        {ts('t_start')} AS detected_at FROM ({SURFACED}) WHERE severity >= 6.0""",
+        4,
+    ),
 )
 def _(t):
     from sugartrace.sources import sinks
 
-    stored = sinks.persistable(detect.surface(_found(t), _origins(t)), floor=2.5)
+    t = t.merged(4)
+    stored = sinks.persistable(detect.surface(_found(t), _origins(t)))
     return stored.select("patient_id", "anomaly_type", "confidence", "severity", "detected_at")
 
 
@@ -583,5 +591,5 @@ def _(t):
     )
     embeddings = windows.join(keyed, "vec_id").drop("vec_id")
     labels = rules.meal_labels(rules.classify_meals(t.carbs, t.boluses))
-    thresholds = calibrate.threshold_leading(scored, 5 * K.MINUTES_PER_DAY // K.SCORE_STRIDE)
+    thresholds = calibrate.threshold_leading(scored, FIVE_DAYS)
     return detect.diary(scored, thresholds, embeddings, labels, distance, 9.0, CLASS_NAMES)

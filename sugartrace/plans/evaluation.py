@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from sugartrace import constants as K
 from sugartrace.operators import artifacts, calibrate, compare, detect, events, labels, metrics, rules, splits
 from sugartrace.operators import windows as W
-from sugartrace.plans.detection import FLAGS, LEADING, MEAL_LABELS, RENDERED, _dosed, _flat, _labels_sql, _scored
+from sugartrace.plans.detection import FIVE_DAYS, FLAGS, LEADING, MEAL_LABELS, RENDERED, _dosed, _flat, _labels_sql, _scored
 from sugartrace.plans.ingestion import _islands
+from sugartrace.plans.oracle_views import folded
 from sugartrace.plans.registry import query
 from sugartrace.session import materialize
 
@@ -300,17 +301,22 @@ def _(t):
 
 @query(
     "over_detection",
-    f"""WITH a AS ({LEADING}), r AS (SELECT patient_id, threshold FROM robust)
+    folded(
+        f"""WITH a AS ({LEADING}), r AS (SELECT patient_id, threshold FROM robust)
         SELECT 'leading' AS arm, count(*) AS windows, count(*) FILTER (score > threshold) AS flagged,
-          round(count(*) FILTER (score > threshold) / count(*)::DOUBLE, 6) AS share FROM scored s JOIN a ON a.patient_id = s.patient_id WHERE start >= 100
-        UNION ALL SELECT 'all', count(*), count(*) FILTER (score > threshold), round(count(*) FILTER (score > threshold) / count(*)::DOUBLE, 6)
-        FROM scored s JOIN r ON r.patient_id = s.patient_id WHERE start >= 100""",
+          round(count(*) FILTER (score > threshold) / nullif(count(*), 0)::DOUBLE, 6) AS share
+        FROM scored s JOIN a ON a.patient_id = s.patient_id WHERE start >= 7200
+        UNION ALL SELECT 'all', count(*), count(*) FILTER (score > threshold),
+          round(count(*) FILTER (score > threshold) / nullif(count(*), 0)::DOUBLE, 6)
+        FROM scored s JOIN r ON r.patient_id = s.patient_id WHERE start >= 7200""",
+        4,
+    ),
 )
 def _(t):
-    scored = _scored(t)
-    held_out = scored.filter("start >= 100")
+    scored = _scored(t.merged(4))
+    held_out = scored.filter(F.col("start") >= 5 * K.MINUTES_PER_DAY)
     return metrics.over_detection(
-        held_out, {"leading": calibrate.threshold_leading(scored, 20), "all": calibrate.robust_baseline(scored)}
+        held_out, {"leading": calibrate.threshold_leading(scored, FIVE_DAYS), "all": calibrate.robust_baseline(scored)}
     )
 
 
@@ -396,17 +402,17 @@ def _(t):
 PATIENT = f"""WITH {STEPS}, q AS (SELECT cohort, patient_id, avg(glucose) AS glu_mean, stddev_pop(glucose) AS glu_std,
       100.0 * stddev_pop(glucose) / avg(glucose) AS cv, 100.0 * count(*) FILTER (glucose >= 3.9 AND glucose <= 10.0) / count(*) AS tir_pct,
       100.0 * count(*) FILTER (glucose < 3.9) / count(*) AS hypo_pct, 100.0 * count(*) FILTER (glucose > 10.0) / count(*) AS hyper_pct,
-      100.0 * count(*) FILTER (glucose > 13.9) / count(*) AS vhyper_pct, stddev_pop(roc) AS roc_std FROM r GROUP BY 1, 2 HAVING count(*) >= 60)"""
+      100.0 * count(*) FILTER (glucose > 13.9) / count(*) AS vhyper_pct, stddev_pop(roc) AS roc_std FROM r GROUP BY 1, 2 HAVING count(*) >= 100)"""
 
 
-@query("patient_metrics", PATIENT + f" SELECT patient_id, {', '.join(f'round({m}, 6) AS {m}' for m in compare.METRICS)} FROM q")
+@query("patient_metrics", folded(PATIENT + f" SELECT patient_id, {', '.join(f'round({m}, 6) AS {m}' for m in compare.METRICS)} FROM q", 60))
 def _(t):
-    return compare.patient_metrics(t.cgm.select("patient_id", "minute", "glucose"), least=60)
+    return compare.patient_metrics(t.merged(60).cgm.select("patient_id", "minute", "glucose"))
 
 
 def _bands(t):
-    rows = _cohorts(t)
-    per_patient = compare.patient_metrics(rows, least=60)
+    rows = _cohorts(t.merged(60))
+    per_patient = compare.patient_metrics(rows)
     return compare.cohort_bands(per_patient.join(rows.select("patient_id", "cohort").distinct(), "patient_id"))
 
 
@@ -418,7 +424,7 @@ BANDS = PATIENT + ", v AS (" + " UNION ALL ".join(
 
 @query(
     "cohort_bands",
-    BANDS + " SELECT cohort, metric, n, round(p50, 6) AS p50, round(p10, 6) AS p10, round(p90, 6) AS p90 FROM b",
+    folded(BANDS + " SELECT cohort, metric, n, round(p50, 6) AS p50, round(p10, 6) AS p10, round(p90, 6) AS p90 FROM b", 60),
 )
 def _(t):
     return _bands(t)
@@ -426,9 +432,12 @@ def _(t):
 
 @query(
     "spread_ratio",
-    BANDS
-    + """ SELECT r.cohort, r.metric, round((s.p90 - s.p10) / (r.p90 - r.p10), 6) AS ratio, (s.p90 - s.p10) / (r.p90 - r.p10) < 0.6 AS too_narrow
+    folded(
+        BANDS
+        + """ SELECT r.cohort, r.metric, round((s.p90 - s.p10) / (r.p90 - r.p10), 6) AS ratio, (s.p90 - s.p10) / (r.p90 - r.p10) < 0.6 AS too_narrow
         FROM b r JOIN b s ON s.metric = r.metric AND s.cohort = 'sim' WHERE r.cohort <> 'sim'""",
+        60,
+    ),
 )
 def _(t):
     return compare.spread_ratio(_bands(t))

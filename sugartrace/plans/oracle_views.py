@@ -1,5 +1,7 @@
 """The entity views of `bindings.Tables` as SQL, for the independent check."""
 
+import re
+
 STATUS = """CASE WHEN {x} < 3.0 THEN 'very_low' WHEN {x} < 3.9 THEN 'low' WHEN {x} <= 10.0 THEN 'in_range'
  WHEN {x} <= 13.9 THEN 'high' ELSE 'very_high' END"""
 
@@ -158,3 +160,20 @@ VIEWS |= {
         SELECT e.*, (SELECT min(b.minute) FROM boluses b WHERE b.patient_id = e.patient_id
           AND b.minute >= e.start_min - 15 AND b.minute <= e.start_min + 75) AS fb FROM detected_raw e) d""",
 }
+
+FOLDED = (
+    "events", "entity", "numbered", "cgm", "boluses", "carbs_list", "sampled", "grid", "zgrid", "scored", "pass0", "pass1", "pass2",
+    "pass3", "robust", "session_rows", "detected_raw", "detected",
+)
+
+
+def folded(sql: str, patients: int) -> str:
+    """The statement over the tables of `bindings.Merged`."""
+    return re.sub(rf"\b({'|'.join(FOLDED)})\b", rf"m{patients}_\1", sql)
+
+
+for _n in (4, 60):
+    VIEWS |= {f"m{_n}_{name}": folded(VIEWS[name], _n) for name in FOLDED if name != "events"}
+    VIEWS[f"m{_n}_events"] = f"SELECT * REPLACE (user_id % {_n} AS user_id) FROM events"
+    _plain, _high = "% 12.0 AS glucose,", "% 12.0 + CASE WHEN rn % 311 < 12 THEN 9.0 ELSE 0.0 END AS glucose,"
+    VIEWS[f"m{_n}_cgm"] = VIEWS[f"m{_n}_cgm"].replace(_plain, _high)
