@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -82,7 +83,8 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
 
 def learn(pieces: list[str], path: str) -> None:
     """Encode new pieces. Words of letters only are one word to the tokenizer: many are encoded as one text and told
-    apart by the ids that close a word. A comma or full stop after such a word is a word of its own.
+    apart by the ids that close a word. A comma or full stop after such a word is a word of its own, if the word is still
+    of letters only once it is normalised: after a combining mark it would join the mark.
     """
     tokenizer, known, closes = _tokenizers[path], _pieces[path], _closing[path]
     marked, words, others = [], [], [m for m in (",", ".") if m not in known]
@@ -90,7 +92,7 @@ def learn(pieces: list[str], path: str) -> None:
     for piece in pieces:
         if piece.isalpha():
             words.append(piece)
-        elif piece[-1:] in (",", ".") and (stem := piece[:-1]).isalpha():
+        elif piece[-1:] in (",", ".") and unicodedata.normalize("NFC", stem := piece[:-1]).lower().isalpha() and stem.isalpha():
             marked.append(piece)
             if stem not in known:
                 stems.add(stem)

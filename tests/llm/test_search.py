@@ -122,3 +122,19 @@ def test_files_hold_the_grammar(spark):
     repair.write(docs, path)
     row = spark.read.parquet(path).first()
     assert bytes(row.payload[:4]) == b"RPR1" and len(row.payload) < 2 * row.n_tokens
+
+
+ODD = ["a", "B", "é", "e", "\u0301", "\u0307", "\u0130", "I", "\u0958", "\u095c", "\u095f", "\u0915", "\u093c", "\u0905", "\ufb1d", "\ufb2a"]
+ODD += ["\u05e9", "\u05c1", "ß", "ſ", "ﬁ", "Å", "\u212b", "\u1e9b", "\u0344", "漢", "ก", "ำ", "한", "ᄒ", "ᅡ", "ᆫ", "x", "1", "_"]
+ODD += [" ", "  ", "\n", "\t", "\u00a0", "\u2028", "\x0b", ",", ".", "!", "'", "</w>", "<unk>", "😀", "\u200d", "\ufe0f"]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    rng, tokenizer = np.random.default_rng(8), Tokenizer.from_file(repair.vocabulary())
+    texts = ["".join(ODD[i] for i in rng.integers(0, len(ODD), rng.integers(0, 14))) for _ in range(20_000)]
+    texts += [stem + mark for stem in (*ODD, *(a + b for a in ODD for b in ODD)) for mark in (",", ".", ",.", " ,")]
+    texts += ["İ,", "BİLGİSİ,", "अकड़,", "שיִ.", None, ""]
+    got = repair.encode(texts, repair.vocabulary())
+    plain = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    wrong = [t for t, ids, p in zip(texts, got, plain) if ids != np.array(p.ids, "<u4").tobytes()]
+    assert not wrong, wrong[:10]
