@@ -1,9 +1,9 @@
 """Web archives without repeated payloads: one response a payload, revisit records for its other captures.
 
 Only headers (digest, length, page) are shuffled by payload digest to choose the response and to make revisit records;
-payloads of equal pages meet before their shuffle, so a payload is moved about once. Archives are WARC/1.1 files in plain
-text of Spark's own writer: a record ends with two line ends, of which the writer's line separator is the second. So a
-lost executor repeats a task and no half file is left. Reading cuts a file by the lengths in its headers, checks each
+payloads of equal pages meet before their shuffle, so a payload is moved about once. Archives are WARC/1.1 files of Spark's
+own text writer, compressed with gzip: a record ends with two line ends, of which the writer's line separator is the second.
+So a lost executor repeats a task and no half file is left. Reading cuts a file by the lengths in its headers, checks each
 payload against its digest, and joins revisits to the response they name.
 
 Which capture is the response: that with the largest page_id (then url; null is smallest) of those with equal payload.
@@ -14,6 +14,7 @@ page_id leaves its header out and is null again when read. Extra columns are ign
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -123,7 +124,7 @@ def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url",
         records = records.unionAll(small.select(_record("response", made, own, whole).alias("value")))
     mean = rows.agg(F.avg(F.octet_length("body"))).first()[0] or 0
     a_file = max(1, int(FILE_BYTES // (mean + 1024)))
-    records.write.option("lineSep", LINE).option("maxRecordsPerFile", a_file).text(path)
+    records.write.option("lineSep", LINE).option("maxRecordsPerFile", a_file).option("compression", "gzip").text(path)
 
 
 COLUMNS = (
@@ -144,7 +145,9 @@ FORMAT = pa.schema(
 
 
 def cut(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a file; a file that does not follow its lengths is refused."""
+    """Headers and block of each record of a file, compressed or not; one that does not follow its lengths is refused."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     at = 0
     while at < len(content):
         end = content.find(b"\r\n\r\n", at)

@@ -1,6 +1,7 @@
 """Web archives: one response a payload, revisits resolved, files that other readers can read."""
 
 import base64
+import gzip
 import hashlib
 from pathlib import Path
 
@@ -80,7 +81,7 @@ def test_files_follow_the_format(spark):
     path = Path(written(spark, ROWS).removeprefix("file:"))
     kinds = []
     for file in path.glob("part-*"):
-        content, at = file.read_bytes(), 0
+        content, at = gzip.decompress(file.read_bytes()), 0
         while at < len(content):
             head, _, rest = content[at:].partition(b"\r\n\r\n")
             lines = head.decode().split("\r\n")
