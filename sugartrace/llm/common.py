@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,17 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+DOCUMENT = ("doc_id", "text", "source")
+
+
+def apart(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`step` over the columns it works with, all others packed in one, so that no name of theirs meets one of the step's own."""
+    others = [c for c in docs.columns if c not in DOCUMENT]
+    packed = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("other_columns")] if others else []
+    out = step(docs.select(*[c for c in docs.columns if c in DOCUMENT], *packed))
+    return out.select(*[F.col("other_columns").getField(c).alias(c) if c in others else F.col(c) for c in docs.columns])
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Python workers get few documents at a time, so long ones do not add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -12,7 +12,6 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sugartrace.llm import crf, queries, repair
 from sugartrace.llm.common import read
-from sugartrace.llm.graysim import fingerprint
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables not present")
@@ -43,7 +42,11 @@ def plain_pipeline(spark):
     field = crf.train(read(spark, FOLDER, "documents"), read(spark, FOLDER, "labels"))
     docs = [d for d, s in zip(docs, field.qualities([d[1] for d in docs])) if s >= 0.3]
 
-    fps = np.array([fingerprint(d[1].encode(), 5) for d in docs], np.uint64)
+    def five(text):
+        words = text.encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [five(d[1]) for d in docs]
     parent = list(range(len(docs)))
 
     def top(i):
@@ -52,9 +55,11 @@ def plain_pipeline(spark):
         return i
 
     for i in range(len(docs)):
-        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= corpus_pipeline.RADIUS):
-            a, b = sorted((top(i), top(int(j))), key=lambda k: docs[k][0])
-            parent[b] = a
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)), key=lambda k: docs[k][0])
+                parent[b] = a
     docs = [d for i, d in enumerate(docs) if top(i) == i]
 
     letters = lambda text: "".join(c if c.isalnum() else " " for c in text.lower()).split()
@@ -136,3 +141,17 @@ def test_stages_keep_columns_and_handle_odd_rows(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == docs.count()
     kept = corpus_pipeline.near_dedup(spark, odd, FOLDER).collect()
     assert len([r for r in kept if r.text == "a b"]) == 1
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    names = ["_id", "_key", "_row", "_score", "_text", "_time", "_draw", "other.columns", "node", "key", "label", "size", "rank", "fp", "weight"]
+    docs = read(spark, FOLDER, "documents").limit(60)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, docs.doc_id * 100 + i)
+    plain = {r.doc_id: tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(tuple(r) == plain[r.doc_id] for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == 60
