@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sugartrace.llm import crf, decontam, mixing, neardup, repair
-from sugartrace.llm.common import read
+from sugartrace.llm.common import apart, read
 from sugartrace.session import materialize
 
 KEPT_FROM = 0.3
@@ -17,22 +17,22 @@ RADIUS = neardup.RADIUS  # differing bits up to which a pair always is compared;
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the line field scores at least KEPT_FROM."""
     field = crf.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return crf.scores(docs, field, "_score").where(F.col("_score") >= KEPT_FROM).drop("_score")
+    return apart(docs, lambda own: crf.scores(own, field, "_score").where(F.col("_score") >= KEPT_FROM).drop("_score"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the smallest doc_id, and of its rows the first text."""
-    return neardup.one_of_each(docs, SHINGLE)
+    return apart(docs, lambda own: neardup.one_of_each(own, SHINGLE))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+    return apart(docs, lambda own: decontam.clean(own, read(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order and as often as the weighted mix of their sources takes them."""
-    return mixing.mixed_documents(docs)
+    return apart(docs, mixing.mixed_documents)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
