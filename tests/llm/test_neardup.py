@@ -65,6 +65,27 @@ def test_recall_at_the_threshold():
     assert found >= 980
 
 
+def sketches_at(rng, similar, size, count):
+    """Sketches of drawn pairs of sets with that Jaccard similarity and `size` members in all."""
+    both = round(similar * size)
+    for _ in range(count):
+        x = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        cut = both + rng.integers(0, size - both + 1)
+        yield [neardup.sketch(np.unique(s)).view(np.uint8) for s in (x[:cut], np.concatenate([x[:both], x[cut:]]))]
+
+
+@pytest.mark.parametrize("size", [10, 40, 300, 3000])
+def test_sketches_keep_pairs_at_the_threshold_and_leave_others(size):
+    rng = np.random.default_rng(size)
+    share = {}
+    for similar in (0.8, 0.6):
+        a, b = (np.stack(x) for x in zip(*sketches_at(rng, similar, size, 1000)))
+        share[similar] = neardup.likely(a, b).mean()
+    assert share[0.8] >= 0.995 and share[0.6] <= 0.02
+    none = neardup.sketch(np.empty(0, np.uint64)).view(np.uint8)[None]
+    assert neardup.likely(none, none)[0]
+
+
 def test_second_round_gives_each_pair_the_links_left_apart():
     rng = np.random.default_rng(7)
     centre = rng.integers(0, 1 << 63, dtype=np.uint64)
@@ -74,7 +95,8 @@ def test_second_round_gives_each_pair_the_links_left_apart():
     for f, mask in enumerate(neardup.MASKS):
         for value in np.unique(fps & np.uint64(mask)):
             at = np.flatnonzero(fps & np.uint64(mask) == value)
-            a, b, _ = neardup.second_round(np.zeros(len(at), np.int64), np.full(len(at), f), nodes[at], fps[at], roots[at])
+            same = np.ones((len(at), neardup.BINS // 16), np.int64)  # sketches that leave no pair out
+            a, b, _ = neardup.second_round(np.zeros(len(at), np.int64), np.full(len(at), f), nodes[at], fps[at], roots[at], same)
             pairs = [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())]
             assert not got & set(pairs) and len(pairs) == len(set(pairs))
             got |= set(pairs)
