@@ -109,8 +109,9 @@ def owner(bits: np.ndarray) -> np.ndarray:
     return found
 
 
-def stars(nodes: np.ndarray, fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links from the smallest member not reached yet to all others not reached within NEAR bits of it, until none is left."""
+def stars(nodes: np.ndarray, fps: np.ndarray, family: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links from the smallest member not reached yet to all others not reached within NEAR bits of it, until none is left.
+    Links that another family owns are left to its node, which gives them or, with stars of its own, has them in the second round."""
     order = np.argsort(gray_rank(fps), kind="stable")
     nodes, fps = nodes[order], fps[order]
     index, open_ = GrayIndex(fps), np.ones(len(fps), bool)
@@ -121,6 +122,7 @@ def stars(nodes: np.ndarray, fps: np.ndarray) -> tuple[list[np.ndarray], list[np
         open_[first] = False
         found = index.near(fps[first], NEAR, open_)
         open_[found] = False
+        found = found[owner(fps[found] ^ fps[first]) == family]
         left.append(np.full(len(found), nodes[first]))
         right.append(nodes[found])
     return left, right
@@ -196,7 +198,7 @@ def first_round(uppers: np.ndarray, families: np.ndarray, nodes: np.ndarray, fps
             right.append(nodes[cut][found[1]])
     for g in crowded:
         cut = slice(starts[g], ends[g])
-        a, b = stars(nodes[cut], fps[cut])
+        a, b = stars(nodes[cut], fps[cut], int(families[starts[g]]))
         left += a
         right += b
         starred.append(uppers[starts[g]])
