@@ -119,7 +119,7 @@ def iou(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Colum
 
 
 def placement_quality(pairs: DataFrame) -> DataFrame:
-    """Per class: true runs, how many were placed, and the median IoU (0 where not placed).
+    """Per class: true runs, how many were placed, the median and mean IoU over all (0 where not placed), the median over those placed.
 
     `pairs`: class, start, end (placed or null), true_start, true_end.
     """
@@ -127,9 +127,11 @@ def placement_quality(pairs: DataFrame) -> DataFrame:
         "iou",
         F.coalesce(iou(F.col("start"), F.col("end"), F.col("true_start"), F.col("true_end")), F.lit(0.0)),
     )
-    counts = rows.groupBy("class").agg(F.count(F.lit(1)).alias("runs"), F.count("start").alias("found"))
+    counts = rows.groupBy("class").agg(F.count(F.lit(1)).alias("runs"), F.count("start").alias("found"), F.avg("iou").alias("mean_iou"))
     median = ordered.grouped_quantiles(rows, ["class"], "iou", {"median_iou": 0.5}).drop("n")
-    return counts.join(median, "class").withColumn("recall", F.col("found") / F.col("runs"))
+    placed = rows.filter("start IS NOT NULL")
+    found = ordered.grouped_quantiles(placed, ["class"], "iou", {"median_iou_found": 0.5}).drop("n")
+    return counts.join(median, "class").join(found, "class", "left").withColumn("recall", F.col("found") / F.col("runs"))
 
 
 def true_runs(grid: DataFrame, before: int = 15) -> DataFrame:

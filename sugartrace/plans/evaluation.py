@@ -75,26 +75,27 @@ def _(t):
     return labels.label_intervals(_meal_labels(t), t.grid, "excursion", lengths=t.lengths)
 
 
+TRUE_RUNS = "SELECT *, row_number() OVER (ORDER BY patient_id, class, true_start) AS id FROM (" + " UNION ALL ".join(
+    f"""SELECT patient_id, '{c}' AS class, s AS true_start, e AS true_end, greatest(s - 15, 0) AS minute FROM (
+        SELECT patient_id, min(minute) AS s, max(minute) + 1 AS e FROM ({_islands(f'f_{c} > 0', 'flag_grid', 'minute')}) WHERE ton GROUP BY patient_id, run)"""
+    for c in K.EXCURSION_CAP
+) + ")"
+
+
 @query(
     "interval_iou",
-    """WITH r AS ("""
-    + " UNION ALL ".join(
-        f"""SELECT patient_id, '{c}' AS class, s, e, greatest(s - 15, 0) AS m FROM (SELECT patient_id, min(minute) AS s, max(minute) + 1 AS e
-            FROM ({_islands(f'f_{c} > 0', 'flag_grid', 'minute')}) WHERE ton GROUP BY patient_id, run)"""
-        for c in K.EXCURSION_CAP
-    )
-    + f"""), x AS (SELECT r.*, least(T, m + {CAP}) AS pe FROM r JOIN (SELECT patient_id, max(minute) + 1 AS T FROM grid GROUP BY 1) n USING (patient_id)),
-       i AS (SELECT *, greatest(0, least(pe, e) - greatest(m, s)) AS o FROM x)
-       SELECT class, count(*) AS runs, count(*) AS found, round(median(o::DOUBLE / ((e - s) + (pe - m) - o)), 6) AS median_iou, 1.0::DOUBLE AS recall
-       FROM i GROUP BY 1""",
+    f"WITH runs AS ({TRUE_RUNS}), "
+    + EXCURSION.replace(MEAL_LABELS, "SELECT patient_id, id, minute, class FROM runs").removeprefix("WITH ")
+    + """, x AS (SELECT e.class, s IS NOT NULL AS found, true_end - true_start + t - s AS total,
+         greatest(0, least(t, true_end) - greatest(s, true_start)) AS o FROM e JOIN runs ON runs.id = e.id),
+       i AS (SELECT class, found, CASE WHEN found THEN o::DOUBLE / (total - o) ELSE 0.0 END AS iou FROM x)
+       SELECT class, count(*) AS runs, count(*) FILTER (found) AS found, round(median(iou), 6) AS median_iou,
+         round(median(iou) FILTER (found), 6) AS median_iou_found, round(avg(iou), 6) AS mean_iou, round(count(*) FILTER (found) / count(*)::DOUBLE, 6) AS recall FROM i GROUP BY 1""",
 )
 def _(t):
-    truth = labels.true_runs(t.flag_grid)
-    placed = labels.label_intervals(truth.select("patient_id", "minute", "class"), t.grid, "aligned", lengths=t.lengths)
-    pairs = truth.join(
-        placed.withColumnRenamed("start", "minute"), ["patient_id", "class", "minute"]
-    ).withColumn("start", F.col("minute"))
-    return labels.placement_quality(pairs.dropDuplicates(["patient_id", "class", "true_start"]))
+    grid = materialize(t.flag_grid)  # read for the runs of each class and for the excursions
+    truth = materialize(labels.true_runs(grid))
+    return labels.placement_quality(materialize(labels.excursion_windows(truth, grid, lengths=t.lengths)))
 
 
 INJECTED = """(SELECT b.patient_id, CASE WHEN carb_g >= 20 THEN least(T - 1, minute + 30) ELSE minute END AS minute, units, carb_g FROM
