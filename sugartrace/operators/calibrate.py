@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sugartrace import constants as K
-from sugartrace.operators import joins, ordered
+from sugartrace.operators import joins, ordered, trimmed
 from sugartrace.session import materialize
 
 PID = "patient_id"
@@ -39,27 +39,17 @@ def threshold_all(scored: DataFrame, keys: list[str], k: float = K.THRESHOLD_K)
     return _threshold(ordered.grouped_quantiles(scored, keys, "score", QUARTILES), k)
 
 
-def robust_baseline(scored: DataFrame, k: float = K.THRESHOLD_K, passes: int = 3) -> DataFrame:
+def robust_baseline(
+    scored: DataFrame, k: float = K.THRESHOLD_K, passes: int = 3, written: bool = False
+) -> DataFrame:
     """Median, sigma and threshold of each patient's non-anomalous windows.
 
-    Each pass drops the scores above the threshold, never below half of them. What is kept
-    is always the first `n` ranks of the patient's sorted scores, so a pass is a count over
-    the ranks and three picked order statistics; the ranks are written once and reread.
+    Each pass drops the scores above the threshold, never below half of them. What is kept is always the first
+    ranks of the patient's sorted scores, so all passes follow from counts in bins and the values of a few bins
+    (`trimmed`). Scores are read twice; `written` says that they are a stored table already.
     """
-    ranks = materialize(ordered.order_statistics(scored, [PID], "score"))
-    totals = ranks.groupBy(PID).agg(F.max("hi").alias("n"), F.max("hi").alias("_all"))
-    state = ordered.quantiles_from_ranks(ranks, [PID], "score", totals, QUARTILES)
-    for _ in range(passes):
-        below = F.max(F.when(F.col("score") <= F.col("threshold"), F.col("hi")))
-        kept = (
-            joins.lookup_join(ranks, _threshold(state, k), [PID])
-            .groupBy(PID)
-            .agg(below.alias("_next"), F.max("n").alias("_now"), F.max("_all").alias("_all"))
-        )
-        enough = F.col("_next") >= F.greatest(F.floor(F.col("_all") / 2), F.lit(1))
-        kept = kept.select(PID, F.when(enough, F.col("_next")).otherwise(F.col("_now")).alias("n"), "_all")
-        state = ordered.quantiles_from_ranks(ranks, [PID], "score", kept, QUARTILES)
-    return _threshold(state, k).withColumn("kept", F.col("n")).drop("n", "_all")
+    scores = scored.select(PID, "score")
+    return trimmed.trimmed_quartiles(scores if written else materialize(scores), [PID], "score", k, passes)
 
 
 def flag(scored: DataFrame, thresholds: DataFrame) -> DataFrame:

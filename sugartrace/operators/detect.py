@@ -58,7 +58,7 @@ def detect_events(
     """Robust threshold, session merge, severity and rule label. Scores are written once: they are
     read for the baseline and again for the flags."""
     scored = materialize(scored)
-    flagged = calibrate.flag(scored, calibrate.robust_baseline(scored, k)).filter("flagged")
+    flagged = calibrate.flag(scored, calibrate.robust_baseline(scored, k, written=True)).filter("flagged")
     return rules.classify_detection(group_events(flagged, min_length), boluses)
 
 

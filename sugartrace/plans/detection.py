@@ -383,7 +383,7 @@ def _(t):
     """SELECT patient_id, round(median, 6) AS median, round(sigma, 6) AS sigma, round(threshold, 6) AS threshold, kept FROM robust""",
 )
 def _(t):
-    return calibrate.robust_baseline(_scored(t))
+    return calibrate.robust_baseline(_scored(t), written=True)
 
 
 @query(
@@ -407,7 +407,7 @@ def _(t):
 )
 def _(t):
     scored = _scored(t)
-    return calibrate.severity(scored, calibrate.robust_baseline(scored)).select("patient_id", "start", "severity")
+    return calibrate.severity(scored, calibrate.robust_baseline(scored, written=True)).select("patient_id", "start", "severity")
 
 
 def _found(t):

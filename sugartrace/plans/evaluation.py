@@ -317,7 +317,7 @@ def _(t):
     scored = _scored(t.merged(4))
     held_out = scored.filter(F.col("start") >= 5 * K.MINUTES_PER_DAY)
     return metrics.over_detection(
-        held_out, {"leading": calibrate.threshold_leading(scored, FIVE_DAYS), "all": calibrate.robust_baseline(scored)}
+        held_out, {"leading": calibrate.threshold_leading(scored, FIVE_DAYS), "all": calibrate.robust_baseline(scored, written=True)}
     )
 
 
