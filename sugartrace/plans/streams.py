@@ -21,12 +21,6 @@ def _stream(t):
     )
 
 
-def _run(t, name, stream, mode):
-    target = scratch_path(t.spark, name)
-    jobs.run_to_table(stream, target, scratch_path(t.spark, f"{name}-state"), mode)
-    return t.spark.read.parquet(target)
-
-
 @query("stream_ingest_dedupe", f"SELECT DISTINCT patient_id, {ts('timestamp')} AS timestamp FROM glucoses")
 def _(t):
     target = scratch_path(t.spark, "ingest")
@@ -40,7 +34,8 @@ def _(t):
         round(max(glucose_mmoll), 6) AS max FROM (SELECT *, date_trunc('day', timestamp) AS d FROM glucoses) GROUP BY patient_id, d""",
 )
 def _(t):
-    return _run(t, "daily", jobs.daily_summary(_stream(t)), "complete")
+    table = jobs.keep_daily(_stream(t), scratch_path(t.spark, "daily"), scratch_path(t.spark, "daily-state"))
+    return jobs.daily_view(table.read())
 
 
 @query(
@@ -50,7 +45,8 @@ def _(t):
         SELECT patient_id, {ts('min(timestamp)')} AS first, {ts('max(timestamp)')} AS last, count(*) AS flags FROM g GROUP BY patient_id, n""",
 )
 def _(t):
-    return _run(t, "sessions", jobs.event_sessions(_stream(t)), "complete")
+    table = jobs.keep_sessions(_stream(t), scratch_path(t.spark, "sessions"), scratch_path(t.spark, "sessions-state"))
+    return jobs.session_view(table.read())
 
 
 @query(
@@ -59,4 +55,4 @@ def _(t):
         SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY timestamp DESC, id DESC) AS rn FROM glucoses) WHERE rn = 1""",
 )
 def _(t):
-    return _run(t, "latest", jobs.latest(_stream(t)), "complete")
+    return jobs.keep_latest(_stream(t), scratch_path(t.spark, "latest"), scratch_path(t.spark, "latest-state")).read()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sugartrace import constants as K
 from sugartrace.functions import rounding
 from sugartrace.operators import joins
+from sugartrace.sources.parts import PartTable
 
 PID = "patient_id"
 FACT_KEYS = {
@@ -83,6 +84,22 @@ def acknowledge(anomalies: DataFrame, acks: DataFrame) -> DataFrame:
     ).drop("_ack")
 
 
+def store_patients(table: PartTable, incoming: DataFrame, now) -> None:
+    """`upsert_patients` on a stored table; only the parts of incoming patients are read and written."""
+    table.merge(incoming, lambda old, new: upsert_patients(old, new, now))
+
+
+def store_window(table: PartTable, windows: DataFrame, detected: DataFrame) -> None:
+    """`overwrite_window` on a stored table in parts of patients."""
+    patients = windows.select(PID).unionByName(detected.select(PID)).distinct()
+    table.merge(patients, lambda old, _: overwrite_window(old, windows, detected))
+
+
+def store_acknowledged(table: PartTable, acks: DataFrame) -> None:
+    """`acknowledge` on a stored table in parts of patients."""
+    table.merge(acks, acknowledge)
+
+
 def upload_summary(glucoses: DataFrame, meals: DataFrame, insulins: DataFrame) -> DataFrame:
     stamps = (
         glucoses.select(PID, "timestamp", F.lit("g").alias("k"))
