@@ -179,7 +179,8 @@ def inject_channel(
     """The same on rate channels: bolus = insulin above the rolling basal, meals = carb runs.
 
     Adds `flag` at each changed meal's onset; glucose is untouched. A late meal whose carbs
-    land on a later changed meal moves on with that one, as if meals were handled in order.
+    land on a later changed meal moves on with that one, as if meals were handled in order: carbs go to the end of a
+    chain of minutes `delay` apart, found by carrying the chains' ends back along every `delay`-th minute.
     """
     base = series.rolling_median(grid, "insulin", "_basal", edge="nearest", lengths=lengths).withColumn(
         "_bolus", F.greatest(F.lit(0.0), F.col("insulin") - F.col("_basal"))
@@ -211,20 +212,12 @@ def inject_channel(
     if cls != "late":
         raise ValueError(f"unknown class: {cls}")
     insulin = meals.select(PID, (F.col("minute") + delay).alias("minute"), F.col("_bolus").alias("_i"))
-    landed = None
-    moving = meals.select(PID, (F.col("minute") + delay).alias("minute"), "run", F.col("_c"))
-    spots = meals.select(PID, "minute", F.col("run").alias("_other"))
-    while True:
-        met = moving.join(spots, [PID, "minute"], "left")
-        again = F.col("_other").isNotNull() & (F.col("_other") != F.col("run"))
-        met = materialize(met.withColumn("_again", F.coalesce(again, F.lit(False))))
-        stay = met.filter("NOT _again").select(PID, "minute", "_c")
-        landed = stay if landed is None else landed.unionByName(stay)
-        moving = met.filter("_again").select(
-            PID, (F.col("minute") + delay).alias("minute"), F.col("_other").alias("run"), "_c"
-        )
-        if moving.isEmpty():
-            break
+    after = meals.select(PID, (F.col("minute") - delay).alias("minute"), F.col("run").alias("_other"))
+    met = meals.join(after, [PID, "minute"], "left")
+    stops = F.col("_other").isNull() | (F.col("_other") == F.col("run"))
+    lines = ordered.with_block(met.withColumn("_line", F.pmod("minute", F.lit(max(delay, 1)))), "minute", K.MINUTES_PER_DAY)
+    ends = ordered.sweep(lines, [PID, "_line"], ["minute"], backward={"_end": F.when(stops, F.col("minute"))})
+    landed = ends.select(PID, (F.col("_end") + delay).alias("minute"), "_c")
     added = (
         insulin.unionByName(landed, allowMissingColumns=True)
         .groupBy(PID, "minute")

@@ -111,7 +111,31 @@ def _(t):
     return series.render_channels(_flat(t), late).drop("basal")
 
 
-@query("inject_channel")
+@query(
+    "inject_channel",
+    """WITH n AS (SELECT patient_id, max(minute) + 1 AS T FROM grid GROUP BY 1),
+        p AS (SELECT patient_id, minute, insulin FROM grid
+          UNION ALL SELECT patient_id, x, insulin FROM grid, range(-30, 0) r(x) WHERE minute = 0
+          UNION ALL SELECT g.patient_id, T + x, insulin FROM grid g JOIN n ON n.patient_id = g.patient_id, range(0, 30) r(x) WHERE minute = T - 1),
+        b AS (SELECT patient_id, minute, median(insulin) OVER (PARTITION BY patient_id ORDER BY minute ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS basal FROM p),
+        x AS (SELECT g.*, greatest(0.0, insulin - basal) AS bolus, count(*) FILTER (carbs <= 0) OVER (PARTITION BY g.patient_id ORDER BY g.minute) AS run
+          FROM grid g JOIN (SELECT patient_id AS pid, minute AS mi, basal FROM b) ON pid = g.patient_id AND mi = g.minute),
+        k AS (SELECT patient_id AS pid, run AS kept, min(minute) AS onset FROM x WHERE carbs > 0 GROUP BY 1, 2 HAVING sum(carbs) >= 20),
+        m AS (SELECT x.patient_id, minute, run, onset, carbs AS c, bolus FROM x JOIN k ON pid = x.patient_id AND kept = run WHERE carbs > 0),
+        f AS (WITH RECURSIVE moved AS (SELECT patient_id, minute + 30 AS minute, run, c FROM m
+            UNION ALL SELECT m.patient_id, m.minute + 30, m.run, moved.c FROM moved JOIN m
+              ON m.patient_id = moved.patient_id AND m.minute = moved.minute AND m.run <> moved.run) SELECT * FROM moved),
+        a AS (SELECT patient_id AS pid, minute AS mi, sum(i) AS i, sum(c) AS c FROM (
+            SELECT patient_id, minute + 30 AS minute, bolus AS i, 0.0 AS c FROM m
+            UNION ALL SELECT patient_id, minute, 0.0, c FROM f WHERE NOT EXISTS (
+              SELECT 1 FROM m WHERE m.patient_id = f.patient_id AND m.minute = f.minute AND m.run <> f.run)) GROUP BY 1, 2),
+        y AS (SELECT patient_id AS pm, minute AS mm, bolus AS taken, onset FROM m)
+        SELECT x.patient_id, x.minute, round(glucose, 6) AS glucose, valid,
+          round(insulin - coalesce(taken, 0) + coalesce(i, 0), 6) AS insulin,
+          round(CASE WHEN onset IS NULL THEN carbs ELSE 0 END + coalesce(c, 0), 6) AS carbs,
+          CASE WHEN onset = x.minute THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS flag
+        FROM x LEFT JOIN y ON pm = x.patient_id AND mm = x.minute LEFT JOIN a ON pid = x.patient_id AND mi = x.minute""",
+)
 def _(t):
     return labels.inject_channel(t.grid, "late", min_total=20.0, lengths=t.lengths)
 

@@ -14,7 +14,7 @@ SQL = entry.oracle_sql()
 # Queries whose result SQL cannot give (recursions, fits, drawn artefacts, file profiles); other tests cover them.
 ROWS_ONLY = {
     "describe_parquet", "derive_events", "iob_cob", "arx_fit", "arx_residual", "score_windows_arx",
-    "ood_fit", "ood_distance", "gmm_score", "diary_events", "inject_channel", "artifact_jumps", "artifact_compression",
+    "ood_fit", "ood_distance", "gmm_score", "diary_events", "artifact_jumps", "artifact_compression",
     "artifact_dropouts", "apply_artifacts", "read_realdata_generic",
 }
 

@@ -179,3 +179,27 @@ def test_inject_channel_equals_meal_by_meal(table, cls):
     assert np.allclose([r.insulin for r in out], want[0])
     assert np.allclose([r.carbs for r in out], want[1])
     assert [r.flag for r in out] == want[2]
+
+
+@pytest.mark.parametrize("delay", [7, 30, 45])
+def test_late_meals_move_on_through_long_chains(table, monkeypatch, delay):
+    rng = np.random.default_rng(delay)
+    T = 3200  # over three blocks of a day; most meals land on the next one
+    carbs = [0.0] * T
+    at = 20
+    while at < T - 60:
+        length = int(rng.integers(12, 22))
+        carbs[at : at + length] = [float(x) for x in rng.integers(2, 9, length)]
+        at += length + int(rng.integers(1, 14))
+    insulin = [1.0 + (4.0 if c > 0 and m % 3 else 0.0) * (m % 40 < 5) for m, c in enumerate(carbs)]
+    written = []
+    plain = labels.materialize
+    monkeypatch.setattr(labels, "materialize", lambda df: written.append(1) or plain(df))
+    rows = [(p, m, 6.0, insulin[m], carbs[m]) for p in (1, 2) for m in range(T)]
+    grid = table(rows, "patient_id int, minute long, glucose double, insulin double, carbs double")
+    out = labels.inject_channel(grid, "late", delay, 0.7, 30.0).orderBy(labels.PID, "minute").collect()
+    want = sequential(insulin, carbs, "late", delay, 0.7, 30.0)
+    for p in (1, 2):
+        mine = [r for r in out if r.patient_id == p]
+        assert np.allclose([r.insulin for r in mine], want[0]) and np.allclose([r.carbs for r in mine], want[1])
+    assert len(written) == 1  # no step a link of the chain
