@@ -121,6 +121,38 @@ def test_passages(spark):
     assert compact.passage_rows(frame(spark, rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("rounds", [1, None])
+def test_a_smaller_document_with_an_edited_copy_hides_no_exact_passage(spark, rounds):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        passage = words(rng, 60)
+        edited = [w if k % 18 else f"new{k}" for k, w in enumerate(passage)]
+        rows += [(n + i, " ".join(words(rng, 50) + p + words(rng, 50)), "s") for n, p in ((0, edited), (100, passage), (200, passage))]
+    docs = frame(spark, rows).select("doc_id", "text")
+    got = {(r.doc_id, r.of_doc_id, r.begin, r.end) for r in compact.repeated_passages(docs, rounds).collect()}
+    assert {(200 + i, 100 + i, 50, 110) for i in range(60)} <= got
+
+
+def test_regions_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        pairs = np.sort(rng.integers(0, 9, rng.integers(1, 70)))
+        begin = rng.integers(0, 100, len(pairs))
+        hits = np.stack([rng.integers(0, 6, len(pairs)), begin, begin + rng.integers(0, 120, len(pairs)), rng.choice([0, 30, 60, 400, -50], len(pairs))], 1)
+        expected = set()
+        for pair in set(pairs.tolist()):
+            own = hits[pairs == pair]
+            own = own[np.argsort(own[:, 3])]
+            for some in np.split(own, np.flatnonzero(np.diff(own[:, 3]) > compact.LEAST) + 1):
+                covered = np.array([len({k for k, a, b, _ in some.tolist() if a <= x <= b}) for x in range(230)]) >= compact.ENOUGH
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(int), [0]])))
+                for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                    if b - a >= compact.LEAST - compact.SLACK:
+                        expected.add((pair, max(0, a - compact.SLACK), b + compact.SLACK))
+        assert set(zip(*(x.tolist() for x in compact.regions(pairs, hits)))) == expected
+
+
 def test_lines(spark):
     rows = [(i, f"Job {i} done after {i * 7} s\nUnique line number {'abcdefgh'[i]} of this text\n\nCopyright owner {'xyz'[i % 3]} all rights reserved", "s") for i in range(8)]
     rows += [(20, None, None), (21, "", "s"), (22, "Unique words only here", "s"), (22, "Unique words only here", "s"), (None, "Job 5 done after 9 s", "s")]
