@@ -134,6 +134,19 @@ def test_a_smaller_document_with_an_edited_copy_hides_no_exact_passage(spark, ro
     assert {(200 + i, 100 + i, 50, 110) for i in range(60)} <= got
 
 
+def test_no_number_of_smaller_documents_hides_a_passage(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for f in range(0, 120, 10):
+        # All of a family have 44 words in common, too few for a passage; the last two have 50, and the first of them has the 44 twice.
+        line, ahead, after = words(rng, 44), words(rng, 3), words(rng, 3)
+        rows += [(f + i, " ".join(words(rng, 40) + line + words(rng, 40)), "s") for i in range(6)]
+        rows += [(f + 6, " ".join(line + words(rng, 40) + ahead + line + after + words(rng, 40)), "s")]
+        rows += [(f + 7, " ".join(words(rng, 40) + ahead + line + after + words(rng, 40)), "s")]
+    got = {(r.doc_id, r.of_doc_id, r.begin, r.end) for r in compact.repeated_passages(frame(spark, rows).select("doc_id", "text")).collect()}
+    assert got == {(f + 7, f + 6, 40, 90) for f in range(0, 120, 10)}
+
+
 def test_regions_of_many_pairs_are_those_of_each():
     rng = np.random.default_rng(6)
     for _ in range(200):
