@@ -143,9 +143,10 @@ def _(t):
 def _artifact_query(name: str, build):
     @query(name)
     def _(t):
-        rows = t.grid.withColumn("artifact", F.lit(K.ARTEFACT_CODES["clean"]))
+        grid = materialize(t.grid)  # read for the days and for the rows
+        rows = grid.withColumn("artifact", F.lit(K.ARTEFACT_CODES["clean"]))
         cfg = artifacts.Artefacts(jumps=artifacts.Jumps(14.0), dips=artifacts.Dips(28.0))
-        return build(rows, artifacts.patient_days(t.grid), cfg).select(
+        return build(rows, materialize(artifacts.patient_days(grid)), cfg).select(
             "patient_id", "minute", "glucose", "valid", "artifact"
         )
 

@@ -11,7 +11,7 @@ from sugartrace import constants as K
 from sugartrace.functions import scalars
 from sugartrace.operators import aggregates as agg
 from sugartrace.operators import artifacts, compare, ranking, splits, timerange
-from sugartrace.session import scratch_path
+from sugartrace.session import materialize, scratch_path
 from sugartrace.sources import sinks
 from sugartrace.streaming import jobs
 
@@ -241,3 +241,35 @@ def test_streams_over_arriving_files(spark, table):
     assert [r.id for r in spark.read.parquet(target + "-l").collect()] == [5]
     run(jobs.daily_summary(stream), target + "-d", state + "-d")
     assert [(r.average, r.min, r.max) for r in spark.read.parquet(target + "-d").collect()] == [(7.0, 5.0, 9.0)]
+
+
+def test_dropouts_are_drawn_where_the_day_is(table, capsys):
+    days = materialize(artifacts.patient_days(flat(table, 2)))
+    gaps = artifacts.dropouts(days, artifacts.Artefacts())
+    gaps.explain()
+    plan = capsys.readouterr().out
+    assert "Scan parquet" in plan and "Exchange" not in plan
+    assert gaps.count() > 0
+
+
+def test_artifacts_read_their_grid_once(table, capsys):
+    out = artifacts.apply_artifacts(flat(table, 2))
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "Scan parquet" in plan and "ExistingRDD" not in plan
+    assert out.count() == 2 * 2 * 1440
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_jumps_count_on_rows_that_are_there(table, missing):
+    cfg = artifacts.Artefacts(jumps=artifacts.Jumps(280.0))
+    grid = flat(table, 2, (1,)).withColumn("artifact", F.lit(0))
+    grid = grid.filter("minute % 7 <> 3") if missing else grid
+    days = artifacts.patient_days(grid)
+    deltas = {}
+    for r in artifacts.jumps(days, cfg).collect():
+        deltas[r.minute] = deltas.get(r.minute, 0.0) + r.delta
+    level = 8.0
+    for r in artifacts.add_jumps(grid, days, cfg, block=100).orderBy("minute").collect():
+        level += deltas.get(r.minute, 0.0)
+        assert r.glucose == pytest.approx(level) and (r.artifact != 0) == (r.minute in deltas)
