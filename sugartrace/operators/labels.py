@@ -185,6 +185,7 @@ def inject_channel(
     base = series.rolling_median(grid, "insulin", "_basal", edge="nearest", lengths=lengths).withColumn(
         "_bolus", F.greatest(F.lit(0.0), F.col("insulin") - F.col("_basal"))
     )
+    base = ordered.materialize(base)  # the medians are read for the runs, their summary and the result
     boxed = ordered.islands(ordered.with_block(base, "minute", K.MINUTES_PER_DAY), [PID], "minute", F.col("carbs") > 0)
     runs = boxed.groupBy(PID, "run").agg(F.sum("carbs").alias("_total"), F.min("minute").alias("_onset"))
     meals = materialize(

@@ -203,3 +203,11 @@ def test_late_meals_move_on_through_long_chains(table, monkeypatch, delay):
         mine = [r for r in out if r.patient_id == p]
         assert np.allclose([r.insulin for r in mine], want[0]) and np.allclose([r.carbs for r in mine], want[1])
     assert len(written) == 1  # no step a link of the chain
+
+
+def test_inject_channel_takes_the_medians_once(table, capsys):
+    rows = [(1, m, 6.0, 1.0 + (m % 50 == 0), 5.0 if m % 90 < 9 else 0.0) for m in range(300)]
+    grid = table(rows, "patient_id int, minute long, glucose double, insulin double, carbs double")
+    labels.inject_channel(grid, "late", 30, 0.7, 30.0).explain()
+    plan = capsys.readouterr().out
+    assert "Scan parquet" in plan and "collect_list" not in plan
