@@ -26,23 +26,20 @@ def tokens(line: Column) -> Column:
     return F.transform(found, lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
 
 
-def read_lines(cut: DataFrame) -> DataFrame:
-    """`cut` (with `content`, a line) less blank lines, with tokens, leaf and line_key instead of the content."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """A row for each line that is not blank: doc_id, text_key, line (number from 0), content, leaf, line_key."""
+    cut = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
     filled = cut.where(F.col("content").rlike("[^\\x20\\x09-\\x0D]"))  # on the line itself, so tokens are made once
-    filled = filled.withColumn("tokens", tokens(F.col("content"))).drop("content")
+    filled = filled.withColumn("tokens", tokens(F.col("content")))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf")
-    return filled.select("*", leaf, F.xxhash64("tokens").alias("line_key"))
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """A row for each line that is not blank: doc_id, text_key, line (number from 0), tokens, leaf, line_key."""
-    return read_lines(docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "content")))
+    return filled.select("*", leaf, F.xxhash64("tokens").alias("line_key")).drop("tokens")
 
 
 def recurring_lines(docs: DataFrame, documents: int = DOCUMENTS, agree: float = AGREE) -> DataFrame:
     """(doc_id, text_key, line) of the lines whose template occurs in at least `documents` documents."""
     docs = docs.where("text is not null")
-    lines = materialize(lines_of(docs).drop("tokens"))
+    written = materialize(lines_of(docs))
+    lines = written.drop("content")
     document = F.xxhash64("doc_id", "text_key").alias("document")
     # Only leaves in enough documents can hold a template in enough documents.
     leaves = lines.select("leaf", document).distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= documents)
@@ -50,14 +47,9 @@ def recurring_lines(docs: DataFrame, documents: int = DOCUMENTS, agree: float =
     few = leaves.count() <= BROADCAST_ROWS
     kept = lambda df: df.join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi")
     lines = materialize(kept(lines).withColumn("document", document))
-    # Equal lines have equal tokens, so only one of them is read again.
-    often = lines.groupBy("leaf", "line_key").agg(F.count("*").alias("times"), F.min(F.struct("text_key", "line")).alias("one"))
-    often = materialize(often)
-    wanted = often.groupBy("one.text_key").agg(F.collect_set("one.line").alias("wanted"))
-    held = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key")
-    again = held.select("wanted", F.posexplode(F.split("text", "\n")).alias("line", "content")).where(F.array_contains("wanted", F.col("line")))
-    texts = read_lines(again.select("content")).groupBy("leaf", "line_key").agg(F.first("tokens").alias("tokens"))
-    distinct = materialize(often.drop("one").join(texts, ["leaf", "line_key"]))
+    # Equal lines have equal tokens, so only one of them goes through the shuffle, and no text is read again for it.
+    often = kept(written).groupBy("leaf", "line_key").agg(F.count("*").alias("times"), F.first("content").alias("content"))
+    distinct = materialize(often.withColumn("tokens", tokens(F.col("content"))).drop("content"))
     placed = distinct.select("leaf", "times", F.posexplode("tokens").alias("place", "token"))
     votes = placed.groupBy("leaf", "place", "token").agg(F.sum("times").alias("votes"))
     chosen = votes.groupBy("leaf", "place").agg(F.max(F.struct("votes", "token")).alias("best"), F.sum("votes").alias("all"))

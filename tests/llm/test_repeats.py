@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from sugartrace.llm import compact, decontam, mixing, runindex, templates
+from sugartrace.session import materialize
 
 TEXT = "doc_id long, text string, source string, anchor string, row_key long"
 
@@ -180,6 +181,24 @@ def test_lines(spark):
     assert templates.drop_recurring(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_take_texts_once(spark, tmp_path, monkeypatch):
+    rows = [(i, f"Job {i} done after {i * 7} s\n{'abcdefgh'[i]} line of its own\nAll rights reserved", "s") for i in range(8)]
+    frame(spark, rows + rows[:2]).write.parquet(f"{tmp_path}/docs")
+    docs, reads = spark.read.parquet(f"{tmp_path}/docs"), []
+
+    def noted(df):
+        reads.append(any(f"{tmp_path}/docs" in file for file in df.inputFiles()))
+        return materialize(df)
+
+    monkeypatch.setattr(templates, "materialize", noted)
+    got = sorted(map(tuple, templates.line_rows(docs).collect()))
+    assert reads.count(True) == 1  # no join but the last one meets texts
+    assert len(got) == 10 and all(r[1:3] == (3, 2) for r in got)
+    monkeypatch.setattr(templates, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, templates.line_rows(docs).collect())) == got
+
+
+
 def test_benchmark_passages(spark):
     rng = np.random.default_rng(11)
     items = [words(rng, n) for n in (30, 60, 7, 3)]
