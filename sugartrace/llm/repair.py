@@ -22,9 +22,11 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -45,6 +47,8 @@ CACHED = 1_000_000  # encoded pieces a worker keeps; only speed depends on it
 
 _tokenizers: dict[str, Tokenizer] = {}
 _pieces: dict[str, dict[str, bytes]] = {}
+_older: dict[str, dict[str, bytes]] = {}
+_lowered: dict[str, Tokenizer] = {}
 _closing: dict[str, np.ndarray] = {}
 
 
@@ -62,46 +66,85 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core already
     if path not in _tokenizers:
         tokenizer = _tokenizers[path] = Tokenizer.from_file(path)
+        _lowered[path] = Tokenizer.from_file(path)
+        _lowered[path].normalizer = None  # for lower-case Latin-1, which it would leave as it is
         closes = np.zeros(tokenizer.get_vocab_size(), bool)
         closes[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        _pieces[path], _closing[path] = {}, closes
-    known = _pieces[path]
+        _pieces[path], _older[path], _closing[path] = {}, {}, closes
     cut = []
     for text in texts:
         text = (text or "").replace("\n", " ")
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-        cut.append(text.split(" "))
-    if len(known) > CACHED:
-        known.clear()
-    learn([piece for piece in set().union(*cut) if piece not in known], path)
-    return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        cut.append(text.lower() if latin(text) else text)
+    lists = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+    coded = lists.values.dictionary_encode()
+    octets = looked_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), path)
+    sizes = np.fromiter(map(len, octets), np.int64, len(octets)) // 4
+    begins = np.cumsum(sizes) - sizes
+    codes = coded.indices.to_numpy()
+    width = sizes[codes]
+    upto = np.append(0, np.cumsum(width))
+    places = np.repeat(begins[codes] - upto[:-1], width)
+    places += np.arange(upto[-1])
+    ids = np.frombuffer(b"".join(octets), "<u4")[places].tobytes()
+    ends = (4 * upto[lists.offsets.to_numpy()]).tolist()
+    return [ids[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def looked_up(pieces: list[str], path: str) -> list[bytes]:
+    """Ids of each piece. What is known is kept in two halves: pieces met since the newer one was begun are in it, and
+    when it is full the older one goes, so pieces that come again and again stay.
+    """
+    known, older = _pieces[path], _older[path]
+    if len(known) > CACHED // 2:
+        older, known = known, {}
+        _older[path], _pieces[path] = older, known
+    found = list(map(known.get, pieces))
+    missing = [i for i, octets in enumerate(found) if octets is None]
+    if older:
+        for i in missing:
+            if (octets := older.get(pieces[i])) is not None:
+                found[i] = known[pieces[i]] = octets
+        missing = [i for i in missing if found[i] is None]
+    learn([pieces[i] for i in missing], path)
+    for i in missing:
+        found[i] = known[pieces[i]]
+    return found
 
 
 def learn(pieces: list[str], path: str) -> None:
     """Encode new pieces. Words of letters only are one word to the tokenizer: many are encoded as one text and told
-    apart by the ids that close a word. A comma or full stop after such a word is a word of its own, if the word is still
-    of letters only once it is normalised: after a combining mark it would join the mark.
+    apart by the ids that close a word. ASCII marks after such a word, however many, are one word of their own, if the word is
+    still of letters only once it is normalised: after a combining mark they would join the mark.
     """
-    tokenizer, known, closes = _tokenizers[path], _pieces[path], _closing[path]
-    marked, words, others = [], [], [m for m in (",", ".") if m not in known]
-    stems = set()
+    tokenizer, lowered, known, closes = _tokenizers[path], _lowered[path], _pieces[path], _closing[path]
+    marked, words, others = [], [], []
+    stems, tails = set(), set()
     for piece in pieces:
         if piece.isalpha():
             words.append(piece)
-        elif piece[-1:] in (",", ".") and unicodedata.normalize("NFC", stem := piece[:-1]).lower().isalpha() and stem.isalpha():
-            marked.append(piece)
+        elif len(stem := piece.rstrip(punctuation)) < len(piece) and stem.isalpha() and unicodedata.normalize("NFC", stem).lower().isalpha():
+            marked.append((piece, stem, tail := piece[len(stem) :]))
             if stem not in known:
                 stems.add(stem)
+            if tail not in known:
+                tails.add(tail)
         else:
             others.append(piece)
+    others += tails.difference(others)
     words = [*words, *stems.difference(words)]
     for begin in range(0, len(words), 5000):
         part = words[begin : begin + 5000]
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        text = " ".join(part)
+        used = lowered if latin(text) and text == text.lower() else tokenizer
+        ids = np.array(used.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(closes[ids]) + 1)).tolist()
         if len(ends) != len(part):
             others += part
@@ -114,8 +157,8 @@ def learn(pieces: list[str], path: str) -> None:
         part = others[begin : begin + 5000]
         for piece, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
             known[piece] = array("I", found.ids).tobytes()
-    for piece in marked:
-        known[piece] = known[piece[:-1]] + known[piece[-1]]
+    for piece, stem, tail in marked:
+        known[piece] = known[stem] + known[tail]
 
 
 def _place(codes: np.ndarray) -> np.ndarray:

@@ -138,3 +138,25 @@ def test_ids_are_those_of_the_tokenizer():
     plain = tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     wrong = [t for t, ids, p in zip(texts, got, plain) if ids != np.array(p.ids, "<u4").tobytes()]
     assert not wrong, wrong[:10]
+
+
+def test_pieces_that_come_again_stay_known(monkeypatch):
+    tokenizer, learnt, learn = Tokenizer.from_file(repair.vocabulary()), [], repair.learn
+    monkeypatch.setattr(repair, "CACHED", 40)
+    monkeypatch.setattr(repair, "learn", lambda pieces, path: (learnt.extend(pieces), learn(pieces, path)))
+    monkeypatch.setattr(repair, "_tokenizers", {})  # nothing is known yet
+    for i in range(30):
+        texts = [f"commonly Said%%% w{i}a WORD{'abcdefghij'[i % 10] * (i + 1)}!? é{'xyz'[i % 3] * i}́.( {'q' * i}'s,", f"ſ{i}) İ,;"]
+        expected = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert repair.encode(texts, repair.vocabulary()) == expected
+    assert learnt.count("commonly") == 1 and learnt.count("Said%%%") == 1
+
+
+def test_marks_after_a_word_are_those_of_the_tokenizer():
+    tokenizer = Tokenizer.from_file(repair.vocabulary())
+    marks = ["!", "?!", "%%%", "'", "''", "'s", ".'", "</w>", "<", "=>", "_", "__", "~`", ")\".", "<|", "̸", "≠"]
+    texts = [stem + mark for stem in (*ODD, *(a + b for a in ODD for b in ODD)) for mark in marks]
+    got = repair.encode(texts, repair.vocabulary())
+    plain = tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, ids, p in zip(texts, got, plain) if ids != np.array(p.ids, "<u4").tobytes()]
+    assert not wrong, wrong[:10]
