@@ -206,3 +206,26 @@ def test_mixture_does_not_depend_on_where_rows_lie(spark):
         fitted = embedding.mixture_fit(df, ks=(2, 3, 4))
         scores.append([r.score for r in embedding.mixture_score(df, *fitted).orderBy("vec_id").collect()])
     assert np.allclose(scores[0], scores[1], atol=1e-9) and np.allclose(scores[0], scores[2], atol=1e-9)
+
+
+def test_mixture_of_components_with_fewer_rows_than_dimensions(table):
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(300, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    df = table([(i, p.tolist()) for i, p in enumerate(points)], "vec_id int, embedding array<double>")
+    fitted = embedding.mixture_fit(df, ks=(3, 8), max_iter=60)  # some components keep fewer rows than there are dimensions
+    scores = np.array([r.score for r in embedding.mixture_score(df, *fitted).collect()])
+    assert np.isfinite(scores).all() and len(scores) == 300
+    assert all(np.linalg.eigvalsh(c).min() > 0.9e-4 for c in fitted[1].covariances)
+
+
+def test_em_raises_the_likelihood_and_splits_rows_over_tasks(table):
+    rng = np.random.default_rng(11)
+    points = np.concatenate([rng.normal(size=(200, 2)) * [1, 2] + c for c in ([0, 0], [9, 3])])
+    df = table([(x.tobytes(), np.ones(len(x)).tobytes()) for x in np.array_split(points, 12)], "x binary, weight binary")
+    start = embedding.Mixture(np.array([0.5, 0.5]), points[[0, -1]], np.stack([np.eye(2)] * 2))
+    steps = [embedding.expectation_maximization(df, {2: start}, most, 0.01, 1e-4, grouped)[2] for most, grouped in ((1, False), (2, False), (90, False), (90, True))]
+    assert steps[0][0] < steps[1][0] < steps[2][0] == pytest.approx(steps[3][0])
+    model = steps[3][1]
+    assert np.allclose(model.weights, 0.5, atol=0.02) and np.allclose(model.means, [points[:200].mean(0), points[200:].mean(0)], atol=0.1)
+    assert np.allclose(model.covariances, [np.cov(x.T, bias=True) for x in (points[:200], points[200:])], atol=0.2)
