@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -99,9 +100,24 @@ def forecast_loss(forecast: DataFrame) -> DataFrame:
 # ---- linear forecaster ---------------------------------------------------------------------
 
 
-def arx_features(grid: DataFrame, lag: int, horizon: int, conditional: bool = True, stride: int = 1) -> DataFrame:
-    """Anchor t with glucose[t-lag:t], insulin and carbs [t-lag:t+horizon) and target glucose[t+horizon]."""
-    cut = W.windows(grid, ["glucose", "insulin", "carbs"], lag + horizon + 1, stride)
+def arx_features(
+    grid: DataFrame, lag: int, horizon: int, conditional: bool = True, stride: int = 1, packed: bool = False
+) -> DataFrame:
+    """Anchor t with glucose[t-lag:t], insulin and carbs [t-lag:t+horizon) and target glucose[t+horizon].
+
+    `packed` (stride 1 only) gives one row for a stretch of anchors instead: its first anchor and the channels as arrays, from
+    `lag` before that to `horizon` after the last. `arx_fit` and `arx_residual` take either form; neighbouring anchors share
+    all inputs but a few, so the packed form holds each value once where rows hold it `lag` + `horizon` times.
+    """
+    channels = ["glucose", "insulin", "carbs"]
+    if packed:
+        if stride != 1:
+            raise ValueError("packed features have every anchor")
+        cut = W.tiles(grid, channels, after=lag + horizon).filter(F.size("rows") > lag + horizon)
+        kept = channels if conditional else channels[:1]
+        sizes = [F.lit(lag).alias("lag"), F.lit(horizon).alias("horizon")]
+        return cut.select(PID, (F.col("first") + lag).alias("anchor"), *sizes, *[F.col(f"rows.{c}").alias(c) for c in kept])
+    cut = W.windows(grid, channels, lag + horizon + 1, stride)
     inputs = [F.slice("glucose", 1, lag)]
     if conditional:
         inputs += [F.slice("insulin", 1, lag + horizon), F.slice("carbs", 1, lag + horizon)]
@@ -113,6 +129,37 @@ def arx_features(grid: DataFrame, lag: int, horizon: int, conditional: bool = Tr
     )
 
 
+def _is_packed(features: DataFrame) -> bool:
+    return "x" not in features.columns
+
+
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, list[np.ndarray]]]:
+    """Row, lag, horizon and channels of the packed stretches of a batch; a null value is NaN."""
+    names = [c for c in ("glucose", "insulin", "carbs") if c in batch.schema.names]
+    columns = [batch.column(c) for c in names]
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
+    ends = np.cumsum([len(x) for x in columns[0]])
+    lags, horizons = batch.column("lag").to_pylist(), batch.column("horizon").to_pylist()
+    for i, (low, high) in enumerate(zip([0, *ends[:-1]], ends)):
+        yield i, lags[i], horizons[i], [c[low:high] for c in flat]
+
+
+def _packed_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for _, lag, horizon, (glucose, *others) in _stretches(batch):
+            n = len(glucose) - lag - horizon
+            inputs = [np.lib.stride_tricks.sliding_window_view(glucose, lag)[:n]]
+            inputs += [np.lib.stride_tricks.sliding_window_view(c, lag + horizon)[:n] for c in others]
+            z = np.hstack([np.ones((n, 1)), *inputs, glucose[lag + horizon :, None]])
+            part = z[:, :-1].T @ z
+            total = part if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "moments"]
+        )
+
+
 def horizon_features(cut: DataFrame, lag: int, conditional: bool = True) -> DataFrame:
     """Forecast windows with inputs `x` near the anchor; the outputs are the whole target."""
     inputs = [F.slice("history", -lag, lag)]
@@ -140,7 +187,10 @@ def moments(rows: DataFrame) -> np.ndarray:
     What reaches the driver is one matrix of the feature width, whatever the row count.
     """
     schema = "i int, moments array<double>"
-    parts = rows.select("x", "y").mapInPandas(_moment_sums, schema)
+    if _is_packed(rows):
+        parts = rows.mapInArrow(_packed_sums, schema)
+    else:
+        parts = rows.select("x", "y").mapInPandas(_moment_sums, schema)
     summed = (
         parts.select("i", F.posexplode("moments").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
     )
@@ -189,11 +239,36 @@ def arx(beta: np.ndarray, intercept: np.ndarray, lag: int, conditional: bool = T
 
 def arx_residual(features: DataFrame, beta: np.ndarray, intercept: np.ndarray) -> DataFrame:
     """Squared forecast residual at each anchor minute."""
+    if _is_packed(features):
+        schema = features.select(PID, F.col("anchor").alias("minute"), F.lit(0.0).alias("residual")).schema
+        return features.mapInArrow(_packed_residuals(beta[:, 0], float(intercept[0])), schema)
     fitted = linear(features, beta, intercept)
     error = F.col("y")[0] - F.col("mean")[0]
     return fitted.select(PID, F.col("anchor").alias("minute"), (error * error).alias("residual"))
 
 
+def _packed_residuals(beta: np.ndarray, intercept: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def residuals_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, minutes, errors = [], [], []
+            anchors = batch.column("anchor").to_numpy()
+            for i, lag, horizon, (glucose, *others) in _stretches(batch):
+                n = len(glucose) - lag - horizon
+                mean, used = np.convolve(glucose[: n + lag - 1], beta[lag - 1 :: -1], "valid") + intercept, lag
+                for channel in others:
+                    weights = beta[used : used + lag + horizon]
+                    mean += np.convolve(channel[: n + lag + horizon - 1], weights[::-1], "valid")
+                    used += lag + horizon
+                owners.append(np.full(n, i))
+                minutes.append(anchors[i] + np.arange(n))
+                errors.append((glucose[lag + horizon :] - mean) ** 2)
+            if owners:
+                columns = [batch.column(PID).take(pa.array(np.concatenate(owners))), pa.array(np.concatenate(minutes)), pa.array(np.concatenate(errors))]
+                yield pa.RecordBatch.from_arrays(columns, [PID, "minute", "residual"])
+
+    return residuals_of
+
+
 def residual_series(grid: DataFrame, anchored: DataFrame) -> DataFrame:
     """The residual on every minute of the grid, zero where there is no anchor."""
     return grid.join(anchored, [PID, "minute"], "left").withColumn("residual", F.coalesce("residual", F.lit(0.0)))

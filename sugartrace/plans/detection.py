@@ -321,9 +321,10 @@ def _(t):
 
 @query("arx_residual")
 def _(t):
-    features = forecast.arx_features(series.zscore_patient(t.grid), LAG, K.HORIZON)
+    grid = materialize(t.grid)  # read for the scalers, the features and the minutes of the result
+    features = materialize(forecast.arx_features(series.zscore_patient(grid), LAG, K.HORIZON, packed=True))
     anchored = forecast.arx_residual(features, *forecast.arx_fit(features))
-    return forecast.residual_series(t.grid.select("patient_id", "minute"), anchored)
+    return forecast.residual_series(grid.select("patient_id", "minute"), anchored)
 
 
 @query("score_windows_arx")

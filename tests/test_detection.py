@@ -229,3 +229,34 @@ def test_em_raises_the_likelihood_and_splits_rows_over_tasks(table):
     model = steps[3][1]
     assert np.allclose(model.weights, 0.5, atol=0.02) and np.allclose(model.means, [points[:200].mean(0), points[200:].mean(0)], atol=0.1)
     assert np.allclose(model.covariances, [np.cov(x.T, bias=True) for x in (points[:200], points[200:])], atol=0.2)
+
+
+@pytest.mark.parametrize("conditional", [True, False])
+def test_packed_features_give_the_fit_and_residuals_of_rows(table, conditional):
+    rng = np.random.default_rng(5)
+    lengths = {1: 1500, 2: 14, 3: 13, 4: 733}  # 13 minutes hold no anchor
+    rows = [(p, m, *rng.normal(size=3).tolist()) for p, size in lengths.items() for m in range(size)]
+    grid = table(rows, "patient_id int, minute long, glucose double, insulin double, carbs double")
+    single, packed = (forecast.arx_features(grid, 6, 7, conditional, packed=x) for x in (False, True))
+    assert single.count() == sum(max(0, n - 13) for n in lengths.values()) and packed.count() == 5
+    fitted, again = forecast.arx_fit(single), forecast.arx_fit(packed)
+    assert np.allclose(fitted[0], again[0], atol=1e-12) and np.allclose(fitted[1], again[1], atol=1e-12)
+    want, got = ({(r.patient_id, r.minute): r.residual for r in forecast.arx_residual(f, *fitted).collect()} for f in (single, packed))
+    assert want.keys() == got.keys() and all(want[k] == pytest.approx(got[k], abs=1e-10) for k in want)
+    with pytest.raises(ValueError):
+        forecast.arx_features(grid, 6, 7, conditional, stride=5, packed=True)
+
+
+def test_arx_residual_keeps_inputs_once(table, monkeypatch):
+    from types import SimpleNamespace
+
+    from sugartrace.plans import detection
+    from sugartrace.plans.registry import QUERIES
+
+    kept = []
+    monkeypatch.setattr(detection, "materialize", lambda df: kept.append(df) or df)
+    rows = [(1, m, float(m % 17), float(m % 5), float(m % 29 == 0), True) for m in range(900)]
+    grid = table(rows, "patient_id int, minute long, glucose double, insulin double, carbs double, valid boolean")
+    out = QUERIES["arx_residual"](SimpleNamespace(grid=grid)).orderBy("minute").collect()
+    assert [r.minute for r in out] == list(range(900)) and {r.minute for r in out if r.residual > 0} <= set(range(30, 860))
+    assert any("glucose" in df.columns and df.count() == 2 for df in kept)  # two stretches, no row for each anchor
