@@ -247,3 +247,17 @@ def test_mix(spark):
     whole = mixing.mixed_documents(frame(spark, rows))
     assert whole.columns == TEXT.replace(" long", "").replace(" string", "").split(", ")
     assert sum(len((r.text or "").split()) for r in whole.collect()) == sum(taken.values())
+
+
+def test_windows_meet_in_one_shuffle(table, monkeypatch):
+    plans = []
+    monkeypatch.setattr(compact, "materialize", lambda df, *path: plans.append(df) or materialize(df, *path))
+    words = [f"w{i}" for i in range(200)]
+    docs = [(9, " ".join(words)), (4, " ".join(words[20:150] + ["other"])), (6, " ".join(f"x{i}" for i in range(120)))]
+    found = compact.repeated_passages(table(docs, "doc_id long, text string"), rounds=0).collect()
+    assert {(r.doc_id, r.of_doc_id) for r in found} == {(9, 4)}
+    hits = next(df for df in plans if "around" in df.columns)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan  # texts are windowed once, nothing is met again
+    firsts = {(r.sign, r.first.doc_id) for r in hits.select("sign", "first").collect()}
+    assert firsts and {doc for _, doc in firsts} == {4} and len(firsts) == len({sign for sign, _ in firsts})
